@@ -1,0 +1,5 @@
+"""No streaming jobs: every source in scope is a bounded table.
+
+The row-wise functions and aggregations of this package are plain column
+expressions, so they also apply to a streaming DataFrame.
+"""
