@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalog import history
+from catalog import history, tables
 
-_PARTS = [history]
+_PARTS = [history, tables]
 
 
 def queries():
