@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalog import history, tables
+from catalog import graphs, history, tables
 
-_PARTS = [history, tables]
+_PARTS = [history, tables, graphs]
 
 
 def queries():

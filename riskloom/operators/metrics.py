@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import nan_to_null
 from riskloom.operators.running import running_totals
+from riskloom.operators.vectors import class_cosine, reconstruction_error
 
 _BIG = "decimal(38,0)"
 
@@ -117,7 +118,24 @@ def log_loss(df: DataFrame, label: str = "label", p: str = "p", clip: float = 1e
 
 
 def multitask_score(
-    log_loss: float, mse: float, cosine: float, rows: int, lambda_: float = 0.5, alpha: float = 0.5, beta: float = 0.0
-) -> float:
-    """Weighted sum of class loss, reconstruction error per row and class cosine."""
-    return lambda_ * log_loss + alpha * mse / rows + beta * abs(cosine)
+    scored: DataFrame,
+    vectors: DataFrame,
+    size: int,
+    label: str = "label",
+    p: str = "p",
+    original: str = "x",
+    rebuilt: str = "rebuilt",
+    weights: tuple[float, float, float] = (0.5, 0.5, 0.0),
+    batch_rows: int = 500,
+) -> DataFrame:
+    """One row: class loss, reconstruction error, class cosine and their weighted sum.
+
+    The reconstruction error enters divided by the rows of a batch.
+    """
+    mse = reconstruction_error(vectors, original, rebuilt).scalar()
+    cosine = class_cosine(vectors, original, label, size).scalar()
+    out = log_loss(scored, label, p).select("log_loss", mse.alias("mse"), cosine.alias("cosine"))
+    a, b, c = (F.lit(float(w)) for w in weights)
+    return out.withColumn(
+        "score", a * F.col("log_loss") + b * F.col("mse") / F.lit(float(batch_rows)) + c * F.col("cosine")
+    )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _REAL = (T.FloatType, T.DoubleType)
+SKETCH_EXACT = 350  # a sketch of size 2**12 holds single hashes up to 2**12 / 8 * 3 / 4
 
 
 def _spread(row: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
@@ -69,17 +70,18 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 def distinct_up_to(df: DataFrame, limit: int, columns: Sequence[str] | None = None) -> dict[str, int]:
     """Exact distinct counts (missing included) of the columns having at most ``limit`` values.
 
-    A sketch pass sets aside columns that certainly have more: a register is touched
-    by at least one value, so a column with up to ``limit`` values can never be
-    estimated at twice the limit and more. Only the others, whose values are
-    few, are counted exactly.
+    A sketch pass sets aside columns that certainly have more: up to SKETCH_EXACT
+    values a sketch keeps every hash it saw and counts those, so its figure never exceeds
+    the number of values. Only the other columns, whose values are few, are counted exactly.
     """
     columns = list(columns or df.columns)
-    if limit > 8000:  # beyond the range the argument above holds for
+    if limit > SKETCH_EXACT:
         exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, columns).collect()}
         return {c: n for c, n in exact.items() if n <= limit}
-    sketch = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns]).first()
-    few = [c for c in columns if sketch[c] <= 2 * limit + 8]
+    cells = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c), 12)).alias(f"s{i}") for i, c in enumerate(columns)]
+    row = df.agg(*cells).first()
+    sketch = {c: row[f"s{i}"] or 0 for i, c in enumerate(columns)}
+    few = [c for c in columns if sketch[c] <= 2 * limit]
     if not few:
         return {}
     exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, few).collect()}

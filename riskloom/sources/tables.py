@@ -62,7 +62,6 @@ LENDING_FILES = {
     "installments_payments": ("installments_payments.csv", INSTALMENT_TYPES),
     "credit_card_balance": ("credit_card_balance.csv", CARD_TYPES),
 }
-LOAN_FILES = {True: "sample/lending_club_sample.csv", False: "lending_club/accepted_2007_to_2018Q4.csv"}
 
 # ---- End of fixed values ----
 
@@ -127,11 +126,18 @@ def read_lending_tables(
 
 
 def read_loans(
-    spark: SparkSession, folder: str, sample: bool = False, date_format: str = "MMM-yyyy", types: str | None = None
+    spark: SparkSession,
+    path: str,
+    sample_path: str | None = None,
+    sample: bool = False,
+    date_format: str = "MMM-yyyy",
+    types: str | None = None,
 ) -> DataFrame:
-    """The loan table, whole or its sample, with ``issue_d`` parsed."""
-    path = f"{folder}/{LOAN_FILES[bool(sample)]}"
-    rows = read_typed(spark, path, types) if types else read_inferred(spark, path)
+    """The loan table, whole or (``sample``) its sample file, with ``issue_d`` parsed."""
+    if sample and sample_path is None:
+        raise ValueError("no sample file given")
+    chosen = sample_path if sample else path
+    rows = read_typed(spark, chosen, types) if types else read_inferred(spark, chosen)
     return rows.withColumn("issue_d", to_date_time("issue_d", date_format))
 
 
