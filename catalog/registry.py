@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from catalog import graphs, history, tables
+from catalog import graphs, history, learning, tables
 
-_PARTS = [history, tables, graphs]
+_PARTS = [history, tables, graphs, learning]
 
 
 def queries():
