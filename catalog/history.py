@@ -3,16 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.frames import FRAMES, frame, frame_sql, lending_tables
-from riskloom.functions import scalars as S
 from riskloom.plans import applicants as A
 
-FAR = 1e15  # stands for infinity in compared results
-
-
 def is_ratio(name: str) -> bool:
     """Columns whose values depend on summation order in their last digits."""
     return any(part in name for part in ("RATIO", "RATE", "_STD"))
@@ -20,13 +15,15 @@ def is_ratio(name: str) -> bool:
 
 def comparable(df: DataFrame) -> DataFrame:
     """Round ratio columns to 6 places, show infinities as a far finite number."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, T.DoubleType) and is_ratio(f.name):
-            c = F.when(c == S.INF, F.lit(FAR)).when(c == -S.INF, F.lit(-FAR)).otherwise(F.round(c, 6) + F.lit(0.0))
-        out.append(c.alias(f.name))
-    return df.select(*out)
+    return df.selectExpr(
+        *[
+            f"CASE WHEN {f.name} = double('inf') THEN 1e15D WHEN {f.name} = double('-inf') THEN -1e15D "
+            f"ELSE round({f.name}, 6) + 0D END AS {f.name}"
+            if isinstance(f.dataType, T.DoubleType) and is_ratio(f.name)
+            else f.name
+            for f in df.schema.fields
+        ]
+    )
 
 
 def shown(expr: str, name: str, kind: str = "double") -> str:

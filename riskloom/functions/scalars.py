@@ -20,6 +20,25 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> str:
+    """A column name for use inside a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(value: object) -> str:
+    """A value for use inside a SQL expression."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, int):
+        return f"{value}L" if value >= 0 else f"({value}L)"
+    if isinstance(value, float):
+        return f"double('{value!r}')" if value in (INF, -INF) or value != value else f"({value!r}D)"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
 def total(parts: Sequence[Column]) -> Column:
     """Plain sum of a non-empty list of columns."""
     return reduce(lambda a, b: a + b, parts)
@@ -33,7 +52,8 @@ def nan_to_null(c: Column | str) -> Column:
 def scrub_nan(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every floating-point column (once, at the scan)."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*[nan_to_null(c).alias(c) if c in floats else F.col(c) for c in df.columns])
+    names = {c: quoted(c) for c in df.columns}
+    return df.selectExpr(*[f"nanvl({q}, NULL) AS {q}" if c in floats else q for c, q in names.items()])
 
 
 def ieee_div(a: Column | str, b: Column | str) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.scalars import literal, quoted
 from riskloom.operators.joins import lookup_join
-from riskloom.operators.profile import column_values, distinct_up_to
+from riskloom.operators.profile import column_values, distinct_up_to, slot_of, slot_value
 from riskloom.operators.running import with_row_ids
 from riskloom.session import materialise
 
@@ -67,7 +68,7 @@ def roles_by_count(df: DataFrame, exclude: Sequence[str]) -> tuple[list[str], li
 
 def _first_seen(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(i, w, r, t, first, n): each column's values, where each first appears, how often."""
-    first = F.struct(*[F.col(o) for o in order]).alias("o")
+    first = f"struct({', '.join(quoted(o) for o in order)}) AS o"
     return (
         column_values(df, columns, [first])
         .groupBy("i", "w", "r", "t")
@@ -75,28 +76,14 @@ def _first_seen(df: DataFrame, columns: Sequence[str], order: Sequence[str]) ->
     )
 
 
-def _slot(df: DataFrame, column: str) -> str:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-        return "w"
-    return "r" if isinstance(kind, (T.FloatType, T.DoubleType)) else "t"
-
-
-def _comparable(df: DataFrame, column: str) -> Column:
-    slot = _slot(df, column)
-    c = F.col(column)
-    if slot == "w":
-        return c.cast("bigint")
-    return c.cast("double") + F.lit(0.0) if slot == "r" else c.cast("string")
-
-
 def _apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], default: int | None) -> DataFrame:
     """Replace each column by its code; ``codes`` has i, w, r, t, n and code."""
     out = df
     for i, c in enumerate(columns):
         key = "__key"
-        mapping = codes.filter(F.col("i") == i).select(F.col(_slot(df, c)).alias(key), "n", F.col("code").alias("__code"))
-        out = lookup_join(out.withColumn(key, _comparable(df, c)), mapping, [key], "n")
+        kind = df.schema[c].dataType
+        mapping = codes.filter(F.col("i") == i).select(F.col(slot_of(kind)).alias(key), "n", F.col("code").alias("__code"))
+        out = lookup_join(out.withColumn(key, F.expr(slot_value(c, kind))), mapping, [key], "n")
         code = F.col("__code") if default is None else F.coalesce(F.col("__code"), F.lit(default))
         out = out.withColumn(c, code.cast("int")).drop(key, "n", "__code")
     return out
@@ -158,7 +145,7 @@ def column_levels(df: DataFrame, columns: Sequence[str], max_levels: int) -> dic
     if not wide:
         rows = column_values(df, columns).distinct().collect()  # at most max_levels + 1 per column
         for i, c in enumerate(columns):
-            slot = _slot(df, c)
+            slot = slot_of(df.schema[c].dataType)
             levels[c] = sorted(r[slot] for r in rows if r["i"] == i and r[slot] is not None)
         wide = [c for c in columns if len(levels[c]) > max_levels]
     if wide:
@@ -173,12 +160,11 @@ def level_name(column: str, level) -> str:
 def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = False, keep: bool = False) -> DataFrame:
     """0/1 columns ``column_level``; a missing value is 0 everywhere."""
     added = [
-        F.when(_comparable(df, c) == F.lit(v), 1).otherwise(0).alias(level_name(c, v))
+        f"CASE WHEN {slot_value(c, df.schema[c].dataType)} = {literal(v)} THEN 1 ELSE 0 END AS {quoted(level_name(c, v))}"
         for c, vs in levels.items()
         for v in (vs[1:] if drop_first else vs)
     ]
-    kept = [c for c in df.columns if keep or c not in levels]
-    return df.select(*[F.col(c) for c in kept], *added)
+    return df.selectExpr(*[quoted(c) for c in df.columns if keep or c not in levels], *added)
 
 
 def one_hot_drop_first(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 200) -> DataFrame:

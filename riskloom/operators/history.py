@@ -10,21 +10,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.scalars import nan_to_null
-
 _FLOATS = (T.DoubleType, T.FloatType)
 
 
 @dataclass(frozen=True)
 class RowWindow:
-    """Output names are ``prefix + COLUMN_FUNCTION + suffix``; no condition means all rows."""
+    """Output names are ``prefix + COLUMN_FUNCTION + suffix``; ``condition`` is SQL, none means all rows."""
 
     prefix: str
-    condition: Column | None = None
+    condition: str | None = None
     suffix: str = ""
 
 
@@ -35,7 +33,7 @@ class HistorySpec:
     key: str
     metrics: Mapping[str, Sequence[str]]
     windows: Sequence[RowWindow]
-    extra: Mapping[str, Column] = field(default_factory=dict)  # further sums, by output name
+    extra: Mapping[str, str] = field(default_factory=dict)  # further sums: output name to SQL
 
 
 def output_names(spec: HistorySpec) -> list[str]:
@@ -47,6 +45,57 @@ def output_names(spec: HistorySpec) -> list[str]:
     ]
 
 
+def _parts(spec: HistorySpec) -> dict[str, tuple[str, str]]:
+    """Smallest set of mergeable aggregates, as name to (merge function, SQL).
+
+    A mean shares the sum and the count of its column.
+    """
+    parts = {}
+    for i, w in enumerate(spec.windows):
+
+        def seen(c: str, i=i, w=w) -> str:
+            return c if w.condition is None else f"CASE WHEN __w{i} THEN {c} END"
+
+        parts[f"n{i}"] = ("sum", f"count({seen('1')})")
+        for c, funcs in spec.metrics.items():
+            if "mean" in funcs or "sum" in funcs:
+                parts[f"s{i}_{c}"] = ("sum", f"sum({seen(c)})")
+            if ("mean" in funcs or "count" in funcs) and c != spec.key:
+                parts[f"c{i}_{c}"] = ("sum", f"count({seen(c)})")
+            if "max" in funcs:
+                parts[f"x{i}_{c}"] = ("max", f"max({seen(c)})")
+            if "min" in funcs:
+                parts[f"m{i}_{c}"] = ("min", f"min({seen(c)})")
+    for n in spec.extra:
+        parts["__x_" + n] = ("sum", f"sum(__x_{n})")
+    return parts
+
+
+def _output(spec: HistorySpec, i: int, c: str, func: str, is_float: bool) -> str:
+    """SQL of one metric from the parts of its window."""
+    w = spec.windows[i]
+    count = f"n{i}" if c == spec.key else f"c{i}_{c}"
+    if func == "max":
+        return f"x{i}_{c}"
+    if func == "min":
+        return f"m{i}_{c}"
+    if func == "mean":
+        value = f"CASE WHEN {count} > 0 THEN CAST(s{i}_{c} AS DOUBLE) / {count} END"
+    elif func == "sum":
+        value = f"coalesce(s{i}_{c}, 0)"
+    elif func == "count":
+        value = count
+    elif func == "nunique":
+        value = f"u{i}"
+    else:
+        raise ValueError(f"unknown function {func} for {c}")
+    if is_float and func in ("mean", "sum"):
+        value = f"nanvl({value}, NULL)"  # opposite infinities add up to no number
+    if w.condition is not None and func != "mean":
+        value = f"CASE WHEN n{i} > 0 THEN {value} END"
+    return value
+
+
 def summarise(df: DataFrame, spec: HistorySpec) -> DataFrame:
     """One row per key with every metric of every window.
 
@@ -59,77 +108,36 @@ def summarise(df: DataFrame, spec: HistorySpec) -> DataFrame:
     if len(distinct) > 1:
         raise ValueError("at most one column can be counted distinct: " + ", ".join(distinct))
 
-    conditions = {f"__w{i}": w.condition for i, w in enumerate(spec.windows) if w.condition is not None}
+    conditions = [
+        f"coalesce({w.condition}, false) AS __w{i}" for i, w in enumerate(spec.windows) if w.condition is not None
+    ]
     needed = list(dict.fromkeys([spec.key, *spec.metrics]))
-    rows = df.filter(F.col(spec.key).isNotNull()).select(
-        *needed,
-        *[F.coalesce(c, F.lit(False)).alias(n) for n, c in conditions.items()],
-        *[c.alias("__x_" + n) for n, c in spec.extra.items()],
+    rows = df.filter(f"{spec.key} IS NOT NULL").selectExpr(
+        *needed, *conditions, *[f"{sql} AS __x_{n}" for n, sql in spec.extra.items()]
     )
 
-    # Smallest set of mergeable parts: means share the sum and the count of their column.
-    parts: dict[str, tuple[str, Column]] = {}
-    for i, w in enumerate(spec.windows):
-
-        def seen(c: Column, i=i, w=w) -> Column:
-            return c if w.condition is None else F.when(F.col(f"__w{i}"), c)
-
-        parts[f"n{i}"] = ("sum", F.count(seen(F.lit(1))))
-        for c, funcs in spec.metrics.items():
-            v = seen(F.col(c))
-            wanted = set(funcs)
-            if {"mean", "sum"} & wanted:
-                parts[f"s{i}_{c}"] = ("sum", F.sum(v))
-            if {"mean", "count"} & wanted and c != spec.key:
-                parts[f"c{i}_{c}"] = ("sum", F.count(v))
-            if "max" in wanted:
-                parts[f"x{i}_{c}"] = ("max", F.max(v))
-            if "min" in wanted:
-                parts[f"m{i}_{c}"] = ("min", F.min(v))
-    for n in spec.extra:
-        parts["__x_" + n] = ("sum", F.sum("__x_" + n))
-
+    parts = _parts(spec)
+    first = [F.expr(sql).alias(n) for n, (_, sql) in parts.items()]
     if distinct:
         # Distinct values: combine per (key, value) first. This spreads a hot key over
         # its values and needs no second copy of the rows for the distinct branch.
-        d = distinct[0]
-        inner = rows.groupBy(spec.key, F.col(d).alias("__value")).agg(*[c.alias(n) for n, (_, c) in parts.items()])
-        merge = {"sum": F.sum, "max": F.max, "min": F.min}
-        outer = [merge[how](n).alias(n) for n, (how, _) in parts.items()]
-        outer += [
-            F.count(F.when(F.col("__value").isNotNull() & (F.col(f"n{i}") > 0), 1)).alias(f"u{i}")
+        inner = rows.groupBy(spec.key, F.col(distinct[0]).alias("__value")).agg(*first)
+        second = [F.expr(f"{merge}({n})").alias(n) for n, (merge, _) in parts.items()]
+        second += [
+            F.expr(f"count(CASE WHEN __value IS NOT NULL AND n{i} > 0 THEN 1 END)").alias(f"u{i}")
             for i, _ in enumerate(spec.windows)
         ]
-        grouped = inner.groupBy(spec.key).agg(*outer)
+        grouped = inner.groupBy(spec.key).agg(*second)
     else:
-        grouped = rows.groupBy(spec.key).agg(*[c.alias(n) for n, (_, c) in parts.items()])
-
-    out = [F.col(spec.key)]
-    for i, w in enumerate(spec.windows):
-        present = F.col(f"n{i}") > 0
-
-        def shown(c: Column, present=present, w=w) -> Column:
-            return c if w.condition is None else F.when(present, c)
-
-        for c, funcs in spec.metrics.items():
-            count = F.col(f"n{i}") if c == spec.key else F.col(f"c{i}_{c}")
-            for f in funcs:
-                if f == "count":
-                    value = shown(count)
-                elif f == "sum":
-                    value = shown(F.coalesce(F.col(f"s{i}_{c}"), F.lit(0)))
-                    value = nan_to_null(value) if is_float[c] else value
-                elif f == "mean":
-                    value = F.when(count > 0, F.col(f"s{i}_{c}").cast("double") / count)
-                    value = nan_to_null(value) if is_float[c] else value
-                elif f == "max":
-                    value = F.col(f"x{i}_{c}")
-                elif f == "min":
-                    value = F.col(f"m{i}_{c}")
-                elif f == "nunique":
-                    value = shown(F.col(f"u{i}"))
-                else:
-                    raise ValueError(f"unknown function {f} for {c}")
-                out.append(value.alias(f"{w.prefix}{c.upper()}_{f.upper()}{w.suffix}"))
-    out += [F.col("__x_" + n).alias(n) for n in spec.extra]
-    return grouped.select(*out)
+        grouped = rows.groupBy(spec.key).agg(*first)
+
+    return grouped.selectExpr(
+        spec.key,
+        *[
+            f"{_output(spec, i, c, f, is_float[c])} AS {w.prefix}{c.upper()}_{f.upper()}{w.suffix}"
+            for i, w in enumerate(spec.windows)
+            for c, funcs in spec.metrics.items()
+            for f in funcs
+        ],
+        *[f"__x_{n} AS {n}" for n in spec.extra],
+    )

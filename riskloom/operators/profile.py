@@ -4,55 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.scalars import ieee_div, literal, quoted
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
 _REAL = (T.FloatType, T.DoubleType)
 SKETCH_EXACT = 350  # a sketch of size 2**12 holds single hashes up to 2**12 / 8 * 3 / 4
 
 
 def _spread(row: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    """Turn a one-row table of per-column figures into (column, figure) rows."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias(name)) for c in columns])
-    return row.select(F.inline(pairs))
+    """Turn a one-row table of per-column figures c0, c1, .. into (column, figure) rows."""
+    pairs = ", ".join(f"struct({literal(c)} AS `column`, c{i} AS {name})" for i, c in enumerate(columns))
+    return row.selectExpr(f"inline(array({pairs}))")
+
+
+def _per_column(df: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """One aggregate per column, all in one pass."""
+    return df.agg(*[F.expr(f"{sql} AS c{i}") for i, sql in enumerate(cells)])
 
 
 def missing_shares(df: DataFrame) -> DataFrame:
     """(column, missing_share), largest share first."""
-    row = df.agg(*[F.avg(F.isnull(c).cast("double")).alias(c) for c in df.columns])
+    row = _per_column(df, [f"avg(CAST({quoted(c)} IS NULL AS DOUBLE))" for c in df.columns])
     return _spread(row, df.columns, "missing_share").orderBy(F.desc("missing_share"), "column")
 
 
 def zero_shares(df: DataFrame) -> DataFrame:
     """(column, zero_share); a missing value is not a zero, text never equals zero."""
-    def share(f: T.StructField) -> Column:
-        if isinstance(f.dataType, (T.NumericType,)):
-            return F.avg(F.when(F.col(f.name) == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        return F.when(F.count(F.lit(1)) > 0, F.lit(0.0))
+    cells = [
+        f"avg(CASE WHEN {quoted(f.name)} = 0 THEN 1D ELSE 0D END)"
+        if isinstance(f.dataType, T.NumericType)
+        else "CASE WHEN count(1) > 0 THEN 0D END"
+        for f in df.schema.fields
+    ]
+    return _spread(_per_column(df, cells), df.columns, "zero_share")
+
 
-    row = df.agg(*[share(f).alias(f.name) for f in df.schema.fields])
-    return _spread(row, df.columns, "zero_share")
+def slot_of(kind: T.DataType) -> str:
+    """Which slot of ``column_values`` holds a type."""
+    if isinstance(kind, _WHOLE):
+        return "w"
+    return "r" if isinstance(kind, _REAL) else "t"
 
 
-def column_values(df: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+def slot_value(name: str, kind: T.DataType) -> str:
+    """SQL of a column as its slot's type; -0.0 becomes 0.0."""
+    slot = slot_of(kind)
+    if slot == "w":
+        return f"CAST({quoted(name)} AS BIGINT)"
+    return f"CAST({quoted(name)} AS DOUBLE) + 0D" if slot == "r" else f"CAST({quoted(name)} AS STRING)"
+
+
+def column_values(df: DataFrame, columns: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """One row per (row, column) with the value in a slot of its own kind.
 
     ``i`` is the column's position in ``columns``; of the slots ``w`` (whole
     numbers), ``r`` (reals) and ``t`` (text and times) at most one is filled, none for
-    a missing value. Keeping kinds apart compares numbers as numbers.
+    a missing value. Keeping kinds apart compares numbers as numbers. ``extra`` is SQL.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    empty = {"w": "CAST(NULL AS BIGINT)", "r": "CAST(NULL AS DOUBLE)", "t": "CAST(NULL AS STRING)"}
 
-    def cell(i: int, c: str) -> Column:
-        v, kind = F.col(c), types[c]
-        whole = v.cast("bigint") if isinstance(kind, _WHOLE) else F.lit(None).cast("bigint")
-        real = v.cast("double") + F.lit(0.0) if isinstance(kind, _REAL) else F.lit(None).cast("double")
-        other = F.lit(None).cast("string") if isinstance(kind, _WHOLE + _REAL) else v.cast("string")
-        return F.struct(F.lit(i).alias("i"), whole.alias("w"), real.alias("r"), other.alias("t"))
+    def cell(i: int, c: str) -> str:
+        filled = {**empty, slot_of(types[c]): slot_value(c, types[c])}
+        return f"struct({i} AS i, {', '.join(f'{sql} AS {slot}' for slot, sql in filled.items())})"
 
-    return df.select(*extra, F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)])))
+    return df.selectExpr(*extra, f"inline(array({', '.join(cell(i, c) for i, c in enumerate(columns))}))")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -63,8 +83,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     columns = list(columns or df.columns)
     values = column_values(df, columns).groupBy("i", "w", "r", "t").agg(F.lit(1).alias("one"))
     counts = values.groupBy("i").agg(F.count("one").alias("n_distinct"))
-    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
-    return counts.select(names.alias("column"), "n_distinct")
+    names = f"element_at(array({', '.join(literal(c) for c in columns)}), i + 1)"
+    return counts.selectExpr(f"{names} AS `column`", "n_distinct")
 
 
 def distinct_up_to(df: DataFrame, limit: int, columns: Sequence[str] | None = None) -> dict[str, int]:
@@ -78,9 +98,8 @@ def distinct_up_to(df: DataFrame, limit: int, columns: Sequence[str] | None = No
     if limit > SKETCH_EXACT:
         exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, columns).collect()}
         return {c: n for c, n in exact.items() if n <= limit}
-    cells = [F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c), 12)).alias(f"s{i}") for i, c in enumerate(columns)]
-    row = df.agg(*cells).first()
-    sketch = {c: row[f"s{i}"] or 0 for i, c in enumerate(columns)}
+    row = _per_column(df, [f"hll_sketch_estimate(hll_sketch_agg(xxhash64({quoted(c)}), 12))" for c in columns]).collect()[0]
+    sketch = {c: row[f"c{i}"] or 0 for i, c in enumerate(columns)}
     few = [c for c in columns if sketch[c] <= 2 * limit]
     if not few:
         return {}
@@ -97,8 +116,6 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """One row: negatives, positives and their ratio."""
-    from riskloom.functions.scalars import ieee_div
-
     row = df.agg(
         F.count(F.when(F.col(label) == 0, 1)).alias("n_neg"),
         F.count(F.when(F.col(label) == 1, 1)).alias("n_pos"),

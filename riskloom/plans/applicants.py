@@ -217,13 +217,13 @@ def _all(prefix: str) -> RowWindow:
 
 
 def _previous_year() -> RowWindow:
-    return RowWindow("PREV_D365_", F.col("DAYS_DECISION") > -365)
+    return RowWindow("PREV_D365_", "DAYS_DECISION > -365")
 
 
-def _decided(status: str):
+def _decided(status: str) -> str:
     """1 for the status, 0 for the other decided one, missing for undecided rows."""
-    name = F.col("NAME_CONTRACT_STATUS")
-    return F.when(name.isin("Approved", "Refused"), (name == status).cast("bigint"))
+    name = "NAME_CONTRACT_STATUS"
+    return f"CASE WHEN {name} IN ('Approved', 'Refused') THEN CAST({name} = '{status}' AS BIGINT) END"
 
 
 def previous_amounts(prev: DataFrame) -> DataFrame:
@@ -242,8 +242,8 @@ def previous_status_counts(prev: DataFrame) -> DataFrame:
         prev.filter(F.col("NAME_CONTRACT_STATUS").isin("Approved", "Refused") & F.col(KEY).isNotNull())
         .groupBy(KEY)
         .agg(
-            F.sum(_decided("Approved")).alias("PREV_APPROVED_COUNT"),
-            F.sum(_decided("Refused")).alias("PREV_REFUSED_COUNT"),
+            F.sum(F.expr(_decided("Approved"))).alias("PREV_APPROVED_COUNT"),
+            F.sum(F.expr(_decided("Refused"))).alias("PREV_REFUSED_COUNT"),
         )
     )
 
@@ -327,8 +327,8 @@ def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
         BUREAU_METRICS,
         [
             _all("BUREAU_"),
-            RowWindow("BUREAU_ACT_", F.col("CREDIT_ACTIVE") == "Active", "_x"),
-            RowWindow("BUREAU_ACT_", F.col("DAYS_CREDIT") > -750, "_y"),
+            RowWindow("BUREAU_ACT_", "CREDIT_ACTIVE = 'Active'", "_x"),
+            RowWindow("BUREAU_ACT_", "DAYS_CREDIT > -750", "_y"),
         ],
     )
     out = summarise(bureau_columns(bureau), spec)
@@ -343,17 +343,17 @@ def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
 
 
 def pos_features(pos: DataFrame) -> DataFrame:
-    windows = [_all("POS_"), RowWindow("POS_M20", F.col("MONTHS_BALANCE") > -20)]
+    windows = [_all("POS_"), RowWindow("POS_M20", "MONTHS_BALANCE > -20")]
     return summarise(pos_columns(pos), HistorySpec(KEY, POS_METRICS, windows))
 
 
 def instalment_features(install: DataFrame) -> DataFrame:
-    windows = [_all("INS_"), RowWindow("INS_D365", F.col("DAYS_ENTRY_PAYMENT") >= -365)]
+    windows = [_all("INS_"), RowWindow("INS_D365", "DAYS_ENTRY_PAYMENT >= -365")]
     return summarise(instalment_columns(install), HistorySpec(KEY, INSTALMENT_METRICS, windows))
 
 
 def card_features(card: DataFrame) -> DataFrame:
-    windows = [_all("CARD_"), RowWindow("CARD_M3", F.col("MONTHS_BALANCE") >= -3)]
+    windows = [_all("CARD_"), RowWindow("CARD_M3", "MONTHS_BALANCE >= -3")]
     return summarise(card_columns(card), HistorySpec(KEY, CARD_METRICS, windows))
 
 

@@ -110,9 +110,10 @@ def indicator_loans(loans: DataFrame, keys: Sequence[str]) -> LoanTable:
     """Text as indicators without the first level, everything scaled, for the baselines."""
     clean = clean_loans(loans, keys)
     text = [c for c in encode.text_columns(clean) if c not in set(keys)]
-    rows = encode.one_hot_drop_first(clean, text)
-    values = [c for c in rows.columns if c not in {*keys, LABEL, DATE}]
-    return LoanTable(scale.min_max_scale(rows, values), values, [])
+    numbers = [c for c in clean.columns if c not in {*keys, *text, LABEL, DATE}]
+    # An indicator is 1 in some row and 0 in another, so scaling would not change it.
+    rows = encode.one_hot_drop_first(scale.min_max_scale(clean, numbers), text)
+    return LoanTable(rows, [c for c in rows.columns if c not in {*keys, LABEL, DATE}], [])
 
 
 def category_loans(loans: DataFrame, keys: Sequence[str]) -> LoanTable:
