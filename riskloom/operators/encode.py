@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.scalars import literal, quoted
-from riskloom.operators.joins import lookup_join
+from riskloom.operators.joins import MappingSize, lookup_join, measure
 from riskloom.operators.profile import column_values, distinct_up_to, slot_of, slot_value
 from riskloom.operators.running import with_row_ids
 from riskloom.session import materialise
@@ -68,7 +68,8 @@ def roles_by_count(df: DataFrame, exclude: Sequence[str]) -> tuple[list[str], li
 
 def _first_seen(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(i, w, r, t, first, n): each column's values, where each first appears, how often."""
-    first = f"struct({', '.join(quoted(o) for o in order)}) AS o"
+    # A single order column keeps the minimum a plain value, which hash aggregation can update in place.
+    first = f"{quoted(order[0])} AS o" if len(order) == 1 else f"struct({', '.join(quoted(o) for o in order)}) AS o"
     return (
         column_values(df, columns, [first])
         .groupBy("i", "w", "r", "t")
@@ -77,13 +78,14 @@ def _first_seen(df: DataFrame, columns: Sequence[str], order: Sequence[str]) ->
 
 
 def _apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], default: int | None) -> DataFrame:
-    """Replace each column by its code; ``codes`` has i, w, r, t, n and code."""
+    """Replace each column by its code; ``codes`` (materialised) has i, w, r, t, n and code."""
+    sizes = {m["i"]: MappingSize(m["keys"], m["rows"], m["bytes"]) for m in measure(codes, "n", ["i"])}
     out = df
     for i, c in enumerate(columns):
-        key = "__key"
-        kind = df.schema[c].dataType
+        key, kind = "__key", df.schema[c].dataType
         mapping = codes.filter(F.col("i") == i).select(F.col(slot_of(kind)).alias(key), "n", F.col("code").alias("__code"))
-        out = lookup_join(out.withColumn(key, F.expr(slot_value(c, kind))), mapping, [key], "n")
+        keyed = out.withColumn(key, F.expr(slot_value(c, kind)))
+        out = lookup_join(keyed, mapping, [key], "n", sizes.get(i, MappingSize(0, 0, 0)))
         code = F.col("__code") if default is None else F.coalesce(F.col("__code"), F.lit(default))
         out = out.withColumn(c, code.cast("int")).drop(key, "n", "__code")
     return out
@@ -107,7 +109,7 @@ def _ordinal_within_column(values: DataFrame, order: Sequence[Column]) -> DataFr
 def factorize(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Codes by first appearance within each column; missing becomes -1."""
     seen = _first_seen(df, columns, order).filter("w is not null or r is not null or t is not null")
-    codes = _ordinal_within_column(seen, [F.col("first")])
+    codes = materialise(_ordinal_within_column(seen, [F.col("first")]), "codes")
     return _apply_codes(df, codes, columns, default=-1)
 
 
@@ -119,7 +121,7 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .groupBy("i", "w", "r", "t")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    codes = _ordinal_within_column(values, [F.col("w"), F.col("r"), F.col("t")])
+    codes = materialise(_ordinal_within_column(values, [F.col("w"), F.col("r"), F.col("t")]), "codes")
     return _apply_codes(df, codes, columns, default=-1)
 
 

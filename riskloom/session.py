@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Mappings up to this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+# Mappings measured up to this size are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
