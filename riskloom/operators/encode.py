@@ -83,11 +83,13 @@ def _apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], defaul
     out = df
     for i, c in enumerate(columns):
         key, kind = "__key", df.schema[c].dataType
-        mapping = codes.filter(F.col("i") == i).select(F.col(slot_of(kind)).alias(key), "n", F.col("code").alias("__code"))
+        mapping = codes.filter(F.col("i") == i).select(
+            F.col(slot_of(kind)).alias(key), F.col("n").alias("__n"), F.col("code").alias("__code")
+        )
         keyed = out.withColumn(key, F.expr(slot_value(c, kind)))
-        out = lookup_join(keyed, mapping, [key], "n", sizes.get(i, MappingSize(0, 0, 0)))
+        out = lookup_join(keyed, mapping, [key], "__n", sizes.get(i, MappingSize(0, 0, 0)))
         code = F.col("__code") if default is None else F.coalesce(F.col("__code"), F.lit(default))
-        out = out.withColumn(c, code.cast("int")).drop(key, "n", "__code")
+        out = out.withColumn(c, code.cast("int")).drop(key, "__n", "__code")
     return out
 
 

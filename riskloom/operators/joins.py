@@ -85,7 +85,9 @@ def lookup_join(
 
     hot_rows = max(1, int(size.rows * HOT_SHARE))
     hot = mapping.filter(F.col(weight) >= hot_rows).withColumn("__hot", F.lit(True))
-    cold = mapping.filter(F.col(weight) < hot_rows).withColumn("__salt", F.lit(0))
+    # Always 0 here, but not a constant: a constant would be folded out of the join keys.
+    cold_salt = F.when(F.col(weight) >= hot_rows, 1).otherwise(0).cast("bigint")
+    cold = mapping.filter(F.col(weight) < hot_rows).withColumn("__salt", cold_salt)
     served = (
         rows.alias("r")
         .join(F.broadcast(hot.alias("m")), null_safe("r", "m"), "left")
@@ -93,7 +95,7 @@ def lookup_join(
             *[F.col(f"r.{quoted(c)}") for c in rows.columns],
             *[F.col("m." + p).alias("__hot_" + p) for p in payload],
             F.when(F.col("m.__hot"), 1 + F.pmod(F.xxhash64(*[F.col(f"r.{quoted(c)}") for c in rows.columns]), F.lit(1 << 20)))
-            .otherwise(F.lit(0))
+            .otherwise(F.lit(0).cast("bigint"))
             .alias("__salt"),
         )
     )
