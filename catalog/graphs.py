@@ -11,7 +11,8 @@ from riskloom.operators import graph, metrics, vectors
 from riskloom.plans import loans as L
 
 ATTRIBUTES = ["pub_rec", "pub_rec_bankruptcies", "term"]
-VALUES = ["loan_amnt", "int_rate"]
+VALUES = ["root_amnt", "root_rate"]  # roots: their means do not fall on a rounding edge
+ROOTS = {"root_amnt": "sqrt(loan_amnt)", "root_rate": "sqrt(int_rate)"}
 DIM = 64
 
 
@@ -20,7 +21,7 @@ def queries():
         return L.clean_loans(frame(spark, sf, "loans"), ["id"])
 
     def linked(spark, sf):
-        rows = clean(spark, sf).select("id", *ATTRIBUTES, *VALUES)
+        rows = clean(spark, sf).selectExpr("id", *ATTRIBUTES, *[f"{e} AS {n}" for n, e in ROOTS.items()])
         return graph.assign_clusters(rows, ATTRIBUTES)
 
     def chosen(df: DataFrame, names) -> DataFrame:
@@ -37,14 +38,14 @@ def queries():
 
     def propagated(spark, sf):
         out = graph.propagate(linked(spark, sf), VALUES)
-        return rounded(out.select("id", "prop_loan_amnt", "prop_int_rate"), ["prop_loan_amnt", "prop_int_rate"], 6)
+        return rounded(out.select("id", "prop_root_amnt", "prop_root_rate"), ["prop_root_amnt", "prop_root_rate"], 6)
 
     def propagated_2(spark, sf):
         def between(c):
-            return {"int_rate": F.greatest(2 * c["int_rate"] - 29, F.lit(0.0))}
+            return {"root_rate": F.greatest(2 * c["root_rate"] - 7.6, F.lit(0.0))}
 
-        out = graph.propagate(linked(spark, sf), ["int_rate"], between=between)
-        return rounded(out.select("id", "prop_int_rate"), ["prop_int_rate"], 6)
+        out = graph.propagate(linked(spark, sf), ["root_rate"], between=between)
+        return rounded(out.select("id", "prop_root_rate"), ["prop_root_rate"], 6)
 
     def mixed(spark, sf):
         out = graph.propagate(linked(spark, sf), VALUES)
@@ -53,8 +54,8 @@ def queries():
 
     def batched(spark, sf):
         rows = linked(spark, sf).withColumn("batch_id", F.floor(F.col("id") / 500))
-        out = graph.propagate(rows, ["int_rate"], by=["batch_id", "cluster_id"])
-        return rounded(out.select("id", "batch_id", "prop_int_rate"), ["prop_int_rate"], 6)
+        out = graph.propagate(rows, ["root_rate"], by=["batch_id", "cluster_id"])
+        return rounded(out.select("id", "batch_id", "prop_root_rate"), ["prop_root_rate"], 6)
 
     def vector_means(spark, sf):
         out = graph.propagate_vector(frame(spark, sf, "vectors"), "x", DIM)
@@ -102,7 +103,7 @@ def oracle():
     attrs = ", ".join(f"coalesce({a}, 0) AS {a}" for a in ATTRIBUTES)
     order = ", ".join(f"coalesce({a}, 0)" for a in ATTRIBUTES)
     linked = (
-        f"SELECT id, {attrs}, {', '.join(VALUES)}, dense_rank() OVER (ORDER BY {order}) - 1 AS cluster_id, "
+        f"SELECT id, {attrs}, {', '.join(f'{e} AS {n}' for n, e in ROOTS.items())}, dense_rank() OVER (ORDER BY {order}) - 1 AS cluster_id, "
         f"count(*) OVER (PARTITION BY {order}) AS degree FROM ({CLEAN})"
     )
     # The matrix form, pair by pair: sum over linked rows of x / (sqrt(d_i) * sqrt(d_j)).
@@ -162,15 +163,15 @@ def oracle():
         "graph_membership": f"SELECT id, cluster_id FROM ({linked})",
         "graph_edges": f"WITH linked AS MATERIALIZED ({linked}) SELECT a.cluster_id, count(DISTINCT a.id) AS degree, count(*) AS links "
         "FROM linked a JOIN linked b ON a.cluster_id = b.cluster_id GROUP BY a.cluster_id",
-        "graph_propagate": head + "SELECT id, round(prop_loan_amnt, 6) + 0e0 AS prop_loan_amnt, round(prop_int_rate, 6) + 0e0 AS "
-        "prop_int_rate FROM pairs",
-        "graph_propagate_2": f"WITH linked AS MATERIALIZED ({linked}), h AS MATERIALIZED (SELECT id, cluster_id, degree, greatest(2 * avg(int_rate) OVER "
-        "(PARTITION BY cluster_id) - 29, 0e0) AS h FROM linked) SELECT a.id, round(sum(b.h / (sqrt(a.degree) * sqrt(b.degree))), 6) + 0e0 "
-        "AS prop_int_rate FROM h a JOIN h b ON a.cluster_id = b.cluster_id GROUP BY a.id",
-        "graph_mix": head + "SELECT id, round(0.3e0 * loan_amnt + 0.7e0 * prop_loan_amnt, 6) + 0e0 AS mix_loan_amnt, "
-        "round(0.3e0 * int_rate + 0.7e0 * prop_int_rate, 6) + 0e0 AS mix_int_rate FROM pairs JOIN linked USING (id)",
-        "graph_propagate_batched": f"SELECT id, id // 500 AS batch_id, round(avg(int_rate) OVER (PARTITION BY id // 500, cluster_id), 6) "
-        f"+ 0e0 AS prop_int_rate FROM ({linked})",
+        "graph_propagate": head + "SELECT id, round(prop_root_amnt, 6) + 0e0 AS prop_root_amnt, round(prop_root_rate, 6) + 0e0 AS "
+        "prop_root_rate FROM pairs",
+        "graph_propagate_2": f"WITH linked AS MATERIALIZED ({linked}), h AS MATERIALIZED (SELECT id, cluster_id, degree, greatest(2 * avg(root_rate) OVER "
+        "(PARTITION BY cluster_id) - 7.6e0, 0e0) AS h FROM linked) SELECT a.id, round(sum(b.h / (sqrt(a.degree) * sqrt(b.degree))), 6) + 0e0 "
+        "AS prop_root_rate FROM h a JOIN h b ON a.cluster_id = b.cluster_id GROUP BY a.id",
+        "graph_mix": head + "SELECT id, round(0.3e0 * root_amnt + 0.7e0 * prop_root_amnt, 6) + 0e0 AS mix_root_amnt, "
+        "round(0.3e0 * root_rate + 0.7e0 * prop_root_rate, 6) + 0e0 AS mix_root_rate FROM pairs JOIN linked USING (id)",
+        "graph_propagate_batched": f"SELECT id, id // 500 AS batch_id, round(avg(root_rate) OVER (PARTITION BY id // 500, cluster_id), 6) "
+        f"+ 0e0 AS prop_root_rate FROM ({linked})",
         "graph_propagate_vector": "SELECT row_id, CAST(pos - 1 AS INTEGER) AS pos, round(0.25e0 * v + 0.75e0 * avg(v) OVER (PARTITION BY "
         f"cluster_id, pos), 6) + 0e0 AS value FROM ({flat})",
         "roc_curve": f"SELECT score AS threshold, round(tp / pos, 9) + 0e0 AS tpr, round(fp / neg, 9) + 0e0 AS fpr FROM ({step}), ({totals})",

@@ -10,6 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 # Mappings measured up to this size are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
+# Settings worth having in any session running these jobs; all can be changed at run time.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM leaves methods beyond 8000 bytes of code uncompiled; the widest
+    # projections run faster expression by expression than as one such method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, taken from ``spark.checkpoint.dir``.

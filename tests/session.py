@@ -1,5 +1,7 @@
 from pyspark.sql import SparkSession
 
+from riskloom.session import tune
+
 
 def make_session(cores: int = 8) -> SparkSession:
     spark = (
@@ -14,4 +16,4 @@ def make_session(cores: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
