@@ -20,8 +20,13 @@ _LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 _LOANS = "orders JOIN customer ON o_custkey = c_custkey"
 
 
+def _whole(x: str) -> str:
+    """Nearest whole number of a non-negative amount, as a double."""
+    return f"CAST(floor({x} + 0.5e0) AS DOUBLE)"
+
+
 def _cents(x: str) -> str:
-    return f"round({x} * 100)"
+    return _whole(f"{x} * 100")
 
 
 def _gap(x: str, key: str, every: int) -> str:
@@ -66,10 +71,10 @@ FRAMES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "NAME_CONTRACT_STATUS": "CASE WHEN o_custkey % 13 = 0 THEN 'Canceled' WHEN o_orderstatus = 'F' THEN "
             "'Approved' WHEN o_orderstatus = 'O' THEN 'Refused' ELSE 'Canceled' END",
             "AMT_CREDIT": "CASE WHEN o_orderkey % 17 = 0 THEN 0e0 ELSE " + _cents("o_totalprice") + " END",
-            "AMT_ANNUITY": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE round(o_totalprice * 10) END",
-            "AMT_APPLICATION": "CASE WHEN o_orderkey % 19 = 0 THEN 0e0 ELSE round(o_totalprice * 97) END",
-            "AMT_DOWN_PAYMENT": _gap("round(o_totalprice * 5)", "o_orderkey", 3),
-            "AMT_GOODS_PRICE": _gap("round(o_totalprice * 90)", "o_orderkey", 5),
+            "AMT_ANNUITY": "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE " + _whole("o_totalprice * 10") + " END",
+            "AMT_APPLICATION": "CASE WHEN o_orderkey % 19 = 0 THEN 0e0 ELSE " + _whole("o_totalprice * 97") + " END",
+            "AMT_DOWN_PAYMENT": _gap(_whole("o_totalprice * 5"), "o_orderkey", 3),
+            "AMT_GOODS_PRICE": _gap(_whole("o_totalprice * 90"), "o_orderkey", 5),
             "RATE_DOWN_PAYMENT": _gap("((o_orderkey * 31) % 100) / 100e0", "o_orderkey", 3),
             "CNT_PAYMENT": _gap("CAST(o_orderkey % 12 AS DOUBLE)", "o_orderkey", 23),
             "DAYS_DECISION": "@days(o_orderdate; date '2001-08-01')",
@@ -91,11 +96,11 @@ FRAMES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "CREDIT_DAY_OVERDUE": "CAST((l_orderkey * 7) % 200 - 60 AS INT)",
             "DAYS_CREDIT_ENDDATE": _gap("CAST((l_orderkey * 3) % 2000 - 1000 AS DOUBLE)", "l_orderkey", 6),
             "DAYS_ENDDATE_FACT": "CASE WHEN l_linestatus = 'O' THEN NULL ELSE CAST(0 - l_partkey % 1500 AS DOUBLE) END",
-            "AMT_CREDIT_MAX_OVERDUE": "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE round(l_extendedprice * l_discount * 100) END",
+            "AMT_CREDIT_MAX_OVERDUE": "CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE " + _whole("l_extendedprice * l_discount * 100") + " END",
             "AMT_CREDIT_SUM": "CASE WHEN l_orderkey % 37 = 0 THEN 0e0 ELSE " + _cents("l_extendedprice") + " END",
-            "AMT_CREDIT_SUM_DEBT": _gap("round(l_extendedprice * l_tax * 100)", "l_linenumber", 5),
-            "AMT_CREDIT_SUM_OVERDUE": "round(l_extendedprice * l_discount * 10)",
-            "AMT_ANNUITY": _gap("round(l_quantity * 100)", "l_partkey", 4),
+            "AMT_CREDIT_SUM_DEBT": _gap(_whole("l_extendedprice * l_tax * 100"), "l_linenumber", 5),
+            "AMT_CREDIT_SUM_OVERDUE": _whole("l_extendedprice * l_discount * 10"),
+            "AMT_ANNUITY": _gap(_whole("l_quantity * 100"), "l_partkey", 4),
         },
     ),
     # One balance row per line, attached to credits by line number 1..4 of the same order.
@@ -132,7 +137,7 @@ FRAMES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "DAYS_INSTALMENT": "CAST(@days(o_orderdate; date '2001-08-01') AS DOUBLE)",
             "DAYS_ENTRY_PAYMENT": "CAST(CASE WHEN l_partkey % 21 = 0 THEN NULL ELSE @days(l_shipdate; date '2001-08-01') END AS DOUBLE)",
             "AMT_INSTALMENT": _cents("l_extendedprice"),
-            "AMT_PAYMENT": _gap("round(l_extendedprice * (1 - l_discount) * 100)", "l_partkey", 21),
+            "AMT_PAYMENT": _gap(_whole("l_extendedprice * (1 - l_discount) * 100"), "l_partkey", 21),
         },
     ),
     "credit_card_balance": (
@@ -142,14 +147,14 @@ FRAMES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "SK_ID_PREV": "l_orderkey",
             "SK_ID_CURR": "o_custkey",
             "MONTHS_BALANCE": "CAST(0 - (l_orderkey + l_linenumber) % 40 AS INT)",
-            "AMT_BALANCE": "round(l_tax * 100)",
-            "AMT_CREDIT_LIMIT_ACTUAL": "CAST(round(l_discount * 100) AS INT)",
-            "AMT_DRAWINGS_ATM_CURRENT": _gap("round(l_quantity)", "l_partkey", 3),
-            "AMT_DRAWINGS_CURRENT": "round(l_quantity * l_discount * 100)",
-            "AMT_DRAWINGS_POS_CURRENT": "CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE round(l_quantity * 3) END",
-            "AMT_INST_MIN_REGULARITY": _gap("round(l_extendedprice)", "l_partkey", 5),
+            "AMT_BALANCE": _whole("l_tax * 100"),
+            "AMT_CREDIT_LIMIT_ACTUAL": "CAST(floor(l_discount * 100 + 0.5e0) AS INT)",
+            "AMT_DRAWINGS_ATM_CURRENT": _gap(_whole("l_quantity"), "l_partkey", 3),
+            "AMT_DRAWINGS_CURRENT": _whole("l_quantity * l_discount * 100"),
+            "AMT_DRAWINGS_POS_CURRENT": "CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE " + _whole("l_quantity * 3") + " END",
+            "AMT_INST_MIN_REGULARITY": _gap(_whole("l_extendedprice"), "l_partkey", 5),
             "AMT_PAYMENT_TOTAL_CURRENT": _cents("l_extendedprice"),
-            "AMT_TOTAL_RECEIVABLE": "round(l_extendedprice * 7)",
+            "AMT_TOTAL_RECEIVABLE": _whole("l_extendedprice * 7"),
             "CNT_DRAWINGS_ATM_CURRENT": _gap("CAST(l_linenumber AS DOUBLE)", "l_partkey", 4),
             "CNT_DRAWINGS_CURRENT": "CAST(l_quantity AS INT)",
             "CNT_DRAWINGS_POS_CURRENT": _gap("CAST(l_linenumber * 2 AS DOUBLE)", "l_partkey", 8),
@@ -173,10 +178,10 @@ FRAMES: dict[str, tuple[str, str | None, dict[str, str]]] = {
             "home_ownership": "CASE c_custkey % 6 WHEN 0 THEN 'RENT' WHEN 1 THEN 'OWN' WHEN 2 THEN 'NONE' WHEN 3 THEN "
             "'ANY' WHEN 4 THEN 'OTHER' ELSE 'MORTGAGE' END",
             "initial_list_status": "CASE WHEN o_orderkey % 3 = 0 THEN 'f' ELSE 'w' END",
-            "installment": "round(o_totalprice / 36)",
+            "installment": _whole("o_totalprice / 36"),
             "int_rate": "(500 + (o_orderkey * 13) % 2000) / 100e0",
             "issue_d": "o_orderdate",
-            "loan_amnt": "round(o_totalprice)",
+            "loan_amnt": _whole("o_totalprice"),
             "loan_status": "CASE o_orderstatus WHEN 'F' THEN 'Fully Paid' WHEN 'O' THEN 'Charged Off' ELSE 'Current' END",
             "mort_acc": _gap("CAST(c_custkey % 9 AS DOUBLE)", "o_orderkey", 19),
             "open_acc": "CAST(c_custkey % 33 AS DOUBLE)",

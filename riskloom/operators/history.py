@@ -1,8 +1,10 @@
 """Per-key summaries of a history table, for several row windows in one pass.
 
 A window is a condition on rows ("the last year", "active credits"). All windows
-of a source are computed by one ``groupBy``, so the source is scanned and
-shuffled once, after map-side combining; no window needs its own scan and join.
+of a source come from one scan. Rows are first combined per (key, which windows
+they are in): every row updates one set of partial figures, however many windows there
+are, and what travels is as narrow as one window. A second, much smaller step
+adds the few partial rows of a key up to its windows.
 """
 
 from __future__ import annotations
@@ -45,54 +47,57 @@ def output_names(spec: HistorySpec) -> list[str]:
     ]
 
 
-def _parts(spec: HistorySpec) -> dict[str, tuple[str, str]]:
-    """Smallest set of mergeable aggregates, as name to (merge function, SQL).
+_MERGE = {"n": "sum", "s": "sum", "c": "sum", "x": "max", "m": "min"}
 
-    A mean shares the sum and the count of its column.
+
+def _parts(spec: HistorySpec, condition: str | None = None) -> dict[str, str]:
+    """Smallest set of mergeable aggregates as name to SQL, of all rows or those of a condition.
+
+    A mean shares the sum (s) and the count (c) of its column; n counts rows.
     """
-    parts = {}
-    for i, w in enumerate(spec.windows):
-
-        def seen(c: str, i=i, w=w) -> str:
-            return c if w.condition is None else f"CASE WHEN __w{i} THEN {c} END"
-
-        parts[f"n{i}"] = ("sum", f"count({seen('1')})")
-        for c, funcs in spec.metrics.items():
-            if "mean" in funcs or "sum" in funcs:
-                parts[f"s{i}_{c}"] = ("sum", f"sum({seen(c)})")
-            if ("mean" in funcs or "count" in funcs) and c != spec.key:
-                parts[f"c{i}_{c}"] = ("sum", f"count({seen(c)})")
-            if "max" in funcs:
-                parts[f"x{i}_{c}"] = ("max", f"max({seen(c)})")
-            if "min" in funcs:
-                parts[f"m{i}_{c}"] = ("min", f"min({seen(c)})")
-    for n in spec.extra:
-        parts["__x_" + n] = ("sum", f"sum(__x_{n})")
+
+    def seen(c: str) -> str:
+        return c if condition is None else f"CASE WHEN {condition} THEN {c} END"
+
+    parts = {"n": f"count({seen('1')})"}
+    for c, funcs in spec.metrics.items():
+        if "mean" in funcs or "sum" in funcs:
+            parts[f"s_{c}"] = f"sum({seen(c)})"
+        if ("mean" in funcs or "count" in funcs) and c != spec.key:
+            parts[f"c_{c}"] = f"count({seen(c)})"
+        if "max" in funcs:
+            parts[f"x_{c}"] = f"max({seen(c)})"
+        if "min" in funcs:
+            parts[f"m_{c}"] = f"min({seen(c)})"
     return parts
 
 
+def _aggregates(sql_by_name) -> list:
+    return [F.expr(sql).alias(n) for n, sql in sql_by_name.items()]
+
+
 def _output(spec: HistorySpec, i: int, c: str, func: str, is_float: bool) -> str:
     """SQL of one metric from the parts of its window."""
     w = spec.windows[i]
-    count = f"n{i}" if c == spec.key else f"c{i}_{c}"
+    count = f"n__{i}" if c == spec.key else f"c_{c}__{i}"
     if func == "max":
-        return f"x{i}_{c}"
+        return f"x_{c}__{i}"
     if func == "min":
-        return f"m{i}_{c}"
+        return f"m_{c}__{i}"
     if func == "mean":
-        value = f"CASE WHEN {count} > 0 THEN CAST(s{i}_{c} AS DOUBLE) / {count} END"
+        value = f"CASE WHEN {count} > 0 THEN CAST(s_{c}__{i} AS DOUBLE) / {count} END"
     elif func == "sum":
-        value = f"coalesce(s{i}_{c}, 0)"
+        value = f"coalesce(s_{c}__{i}, 0)"
     elif func == "count":
         value = count
     elif func == "nunique":
-        value = f"u{i}"
+        value = f"u__{i}"
     else:
         raise ValueError(f"unknown function {func} for {c}")
     if is_float and func in ("mean", "sum"):
         value = f"nanvl({value}, NULL)"  # opposite infinities add up to no number
     if w.condition is not None and func != "mean":
-        value = f"CASE WHEN n{i} > 0 THEN {value} END"
+        value = f"CASE WHEN n__{i} > 0 THEN {value} END"
     return value
 
 
@@ -116,20 +121,31 @@ def summarise(df: DataFrame, spec: HistorySpec) -> DataFrame:
         *needed, *conditions, *[f"{sql} AS __x_{n}" for n, sql in spec.extra.items()]
     )
 
-    parts = _parts(spec)
-    first = [F.expr(sql).alias(n) for n, (_, sql) in parts.items()]
+    flags = [f"__w{i}" if w.condition is not None else None for i, w in enumerate(spec.windows)]
+    extra = {f"__x_{n}": f"sum(__x_{n})" for n in spec.extra}
+
+    def merged(part: str, flag: str | None) -> str:
+        value = part if flag is None else f"CASE WHEN {flag} THEN {part} END"
+        sql = f"{_MERGE[part.split('_')[0]]}({value})"
+        return sql if part[0] not in "nc" else f"coalesce({sql}, 0)"
+
     if distinct:
-        # Distinct values: combine per (key, value) first. This spreads a hot key over
-        # its values and needs no second copy of the rows for the distinct branch.
-        inner = rows.groupBy(spec.key, F.col(distinct[0]).alias("__value")).agg(*first)
-        second = [F.expr(f"{merge}({n})").alias(n) for n, (merge, _) in parts.items()]
-        second += [
-            F.expr(f"count(CASE WHEN __value IS NOT NULL AND n{i} > 0 THEN 1 END)").alias(f"u{i}")
-            for i, _ in enumerate(spec.windows)
-        ]
-        grouped = inner.groupBy(spec.key).agg(*second)
+        # Combine per (key, value), each window apart, so that a value counts once per
+        # window. A hot key is spread over its values and no row is copied.
+        windowed = {f"{n}__{i}": sql for i, f in enumerate(flags) for n, sql in _parts(spec, f).items()}
+        inner = rows.groupBy(spec.key, F.col(distinct[0]).alias("__value")).agg(*_aggregates({**windowed, **extra}))
+        outer = {n: f"{_MERGE[n.split('_')[0]]}({n})" for n in windowed}
+        outer.update(
+            {f"u__{i}": f"count(CASE WHEN __value IS NOT NULL AND n__{i} > 0 THEN 1 END)" for i in range(len(flags))}
+        )
+        grouped = inner.groupBy(spec.key).agg(*_aggregates({**outer, **extra}))
+    elif any(flags):
+        inner = rows.groupBy(spec.key, *[f for f in flags if f]).agg(*_aggregates({**_parts(spec), **extra}))
+        windowed = {f"{n}__{i}": merged(n, f) for i, f in enumerate(flags) for n in _parts(spec)}
+        grouped = inner.groupBy(spec.key).agg(*_aggregates({**windowed, **extra}))
     else:
-        grouped = rows.groupBy(spec.key).agg(*first)
+        plain = {f"{n}__{i}": sql for i in range(len(flags)) for n, sql in _parts(spec).items()}
+        grouped = rows.groupBy(spec.key).agg(*_aggregates({**plain, **extra}))
 
     return grouped.selectExpr(
         spec.key,
