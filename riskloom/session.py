@@ -14,9 +14,6 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The JVM leaves methods beyond 8000 bytes of code uncompiled; the widest
-    # projections run faster expression by expression than as one such method.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
