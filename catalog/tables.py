@@ -243,7 +243,7 @@ def queries():
         ),
         "rebalance_up": lambda s, d: balance.repeat_positives(scored(s, d), "label", 3),
         "rebalance_down": lambda s, d: balance.sample_negatives(
-            scored(s, d), "label", 0.3, ["row_id"], F.pmod(F.col("row_id") * 7919, F.lit(10007))
+            scored(s, d), "label", 0.3, ["row_id"], F.pmod(F.col("row_id") * 7919, F.lit(10007)), 10007
         ),
         "class_weights": lambda s, d: balance.with_class_weights(scored(s, d).select("row_id", "label"), "label"),
         "feature_combine": feature_combine,

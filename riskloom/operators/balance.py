@@ -11,6 +11,7 @@ from riskloom.operators.profile import class_counts
 from riskloom.operators.running import with_row_ids
 
 CELLS = 4096  # cells the rank is counted in
+RANKS = 1 << 31
 
 
 def repeat_positives(df: DataFrame, label: str, times: int) -> DataFrame:
@@ -22,33 +23,36 @@ def repeat_positives(df: DataFrame, label: str, times: int) -> DataFrame:
 
 
 def sample_negatives(
-    df: DataFrame, label: str, share: float, key: Sequence[str], rank: Column | None = None, seed: int = 0
+    df: DataFrame,
+    label: str,
+    share: float,
+    key: Sequence[str],
+    rank: Column | None = None,
+    ranks: int = RANKS,
+    seed: int = 0,
 ) -> DataFrame:
     """All positives and exactly ``int(share * negatives)`` negatives.
 
-    Negatives are taken in the order of ``rank`` (a whole number below 2**52, spread over the rows;
-    by default a hash of the key), then ``key``, which must tell rows apart. The counts
-    per rank cell give the cell the sample ends in; only that cell is ordered.
+    Negatives are taken in the order of ``rank``, a whole number from 0 to ``ranks`` - 1 spread
+    over the rows (by default a hash of the key), then ``key``, which must tell rows apart. The
+    counts per cell of ranks give the cell the sample ends in; only that cell is ordered.
     """
-    rank = rank if rank is not None else F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(1 << 31))
+    if rank is None:
+        rank = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(ranks))
     rows = df.withColumn("__rank", rank.cast("bigint"))
+    rows = rows.withColumn("__cell", F.floor(F.col("__rank") / F.lit((ranks - 1) // CELLS + 1)))
     negative = F.coalesce(F.col(label) != 1, F.lit(True))
-    span = (
-        rows.filter(negative)
-        .agg(F.min("__rank").alias("low"), F.max("__rank").alias("high"), F.count("__rank").alias("n"))
-        .first()
-    )
-    take = int(share * span["n"])
-    if take >= span["n"]:
+
+    cells = rows.filter(negative).groupBy("__cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = sorted((r["__cell"], r["n"]) for r in cells.collect())  # at most CELLS rows
+    total = sum(n for _, n in counts)
+    take = int(share * total)
+    if take >= total:
         return df
     if take <= 0:
         return df.filter(~negative)
-
-    step = (span["high"] - span["low"]) // CELLS + 1
-    rows = rows.withColumn("__cell", F.floor((F.col("__rank") - F.lit(span["low"])) / F.lit(step)))
-    counts = rows.filter(negative).groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()  # at most CELLS rows
     before = 0
-    for last, n in sorted((r["__cell"], r["n"]) for r in counts):
+    for last, n in counts:
         if before + n >= take:
             break
         before += n

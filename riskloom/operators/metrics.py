@@ -30,7 +30,7 @@ def roc_curve(df: DataFrame, label: str = "label", p: str = "p") -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score, counting scores at or above it."""
     scores = _by_score(df, label, p, [])
     run = running_totals(scores, [F.desc("score")], {"tp": "pos", "fp": "neg"})
-    all_ = scores.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).first()
+    all_ = run.agg(F.max(F.col("tp") + F.col("pos")).alias("pos"), F.max(F.col("fp") + F.col("neg")).alias("neg")).first()
     n_pos, n_neg = all_["pos"] or 0, all_["neg"] or 0
 
     def share(seen: Column, of: int) -> Column:

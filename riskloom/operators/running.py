@@ -106,8 +106,8 @@ def weighted_quantile(df: DataFrame, column: str, q: float):
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counts, ["v"], {"before": "n"})
-    n = df.agg(F.count(column)).first()[0]
-    if n == 0:
+    n = ranked.agg(F.max(F.col("before") + F.col("n"))).first()[0]
+    if n is None:
         return None
     position = q * (n - 1)
     low = int(position)
