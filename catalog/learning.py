@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.frames import frame, frame_sql
+from catalog.frames import frame, frame_sql, lending_tables
 from catalog.tables import rounded
 from riskloom.operators import models, neighbours, split, vectors
 from riskloom.operators.running import with_row_ids
+from riskloom.plans import applicants as A
 from riskloom.plans import loans as L
 from riskloom.session import materialise
 
@@ -90,7 +91,13 @@ def queries():
         rows = _near_rows(spark, sf).filter("TARGET = 1")
         return rounded(neighbours.nearest_neighbours(rows, "SK_ID_CURR", NEAR, 5), ["distance"], 9)
 
+    def applicant_graph(spark, sf):
+        table = A.coded_applicants(A.applicant_features(lending_tables(spark, sf)))
+        rows, _ = A.applicant_clusters(table)
+        return rows.select("SK_ID_CURR", "TARGET", *table.codes, "cluster_id", "degree")
+
     return {
+        "applicant_graph": applicant_graph,
         "clf_lr": learner("lr"),
         "clf_dt": learner("dt"),
         "clf_rf": learner("rf", trees=20, depth=8),

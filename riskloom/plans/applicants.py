@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from riskloom.functions.scalars import (
     row_std,
     sentinel_to_null,
 )
+from riskloom.operators import encode, graph, scale
 from riskloom.operators.history import HistorySpec, RowWindow, summarise
+from riskloom.session import materialise
 
 KEY = "SK_ID_CURR"
 
@@ -375,3 +378,33 @@ def applicant_features(tables: Mapping[str, DataFrame]) -> DataFrame:
         out = out.join(part, KEY, "left")
     return out
 
+
+@dataclass(frozen=True)
+class ApplicantTable:
+    """A prepared table, the columns of each role, and the size of the code dictionary."""
+
+    rows: DataFrame
+    values: list[str]
+    codes: list[str]
+    n_codes: int
+
+
+def coded_applicants(features: DataFrame, label: str = "TARGET", order: Sequence[str] = (KEY,)) -> ApplicantTable:
+    """Model input: text as codes, value columns filled with 0 and scaled, the others as shared-dictionary codes.
+
+    The features are written once, as the roles, the ranges and the dictionary each need a pass.
+    """
+    rows = encode.factorize(materialise(features, "features"), encode.text_columns(features), order)
+    values, codes = encode.roles_by_name(rows, [KEY, label])
+    rows = scale.fill_then_min_max(rows, values)
+    rows, n = encode.bag_encode(rows, codes, order)
+    return ApplicantTable(rows, values, codes, n)
+
+
+def applicant_clusters(
+    table: ApplicantTable, zero_share: float = 0.3, below: int = 20, label: str = "TARGET"
+) -> tuple[DataFrame, list[str]]:
+    """Rows with ``cluster_id`` and ``degree`` by the rarely-zero attributes with few values, and those attributes."""
+    rows = materialise(table.rows, "coded")
+    attributes = graph.attributes_by_zero_share(rows, zero_share, below, [KEY, label])
+    return graph.assign_clusters(rows, attributes), attributes
