@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import language, mixing, packing, token_counts, topk
+from riskloom.llm import credentials, fingerprints, language, lines, mixing, near_copies, packing, passages, token_counts, topk
 from riskloom.llm.common import read
 
 
@@ -15,6 +15,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -24,6 +32,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("version").withColumnRenamed("doc", "doc_id")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -32,6 +48,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return credentials.scan(docs.select("doc_id", "text", "source"), ~language.held_out(F.col("doc_id")))
+
+
 _TOPK_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -49,13 +70,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries():
-    return {
-        "op1_language": op1_language,
-        "op4_mixing": op4_mixing,
-        "op5_token_counts": op5_token_counts,
-        "op8_topk": op8_topk,
-        "op9_packing": op9_packing,
-    }
+    found = [
+        op1_language, op2_fingerprints, op3_passages, op4_mixing, op5_token_counts, op6_near_copies, op7_lines, op8_topk, op9_packing,
+        op10_secrets,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle():
