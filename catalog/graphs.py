@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.frames import FRAMES, frame, frame_sql
-from catalog.tables import CLEAN, _per_column, rounded
-from riskloom.operators import graph, metrics, vectors
+from catalog.tables import _CLEAN, CLEAN, _per_column, rounded
+from riskloom.operators import encode, graph, metrics, vectors
 from riskloom.plans import loans as L
 
-ATTRIBUTES = ["pub_rec", "pub_rec_bankruptcies", "term"]
 VALUES = ["root_amnt", "root_rate"]  # roots: their means do not fall on a rounding edge
 ROOTS = {"root_amnt": "sqrt(loan_amnt)", "root_rate": "sqrt(int_rate)"}
 DIM = 64
@@ -21,8 +20,12 @@ def queries():
         return L.clean_loans(frame(spark, sf, "loans"), ["id"])
 
     def linked(spark, sf):
-        rows = clean(spark, sf).selectExpr("id", *ATTRIBUTES, *[f"{e} AS {n}" for n, e in ROOTS.items()])
-        return graph.assign_clusters(rows, ATTRIBUTES)
+        """Attributes chosen by their number of values, coded, and clusters of equal codes."""
+        rows = clean(spark, sf)
+        attributes = graph.attributes_by_count(rows, 10, ["id", L.LABEL, L.DATE])
+        rows = rows.selectExpr("id", *attributes, *[f"{e} AS {n}" for n, e in ROOTS.items()])
+        coded, _ = encode.bag_encode(rows, attributes, ["id"])
+        return graph.assign_clusters(coded, attributes).select("id", *ROOTS, "cluster_id", "degree")
 
     def chosen(df: DataFrame, names) -> DataFrame:
         listed = F.array(*[F.lit(n) for n in names])
@@ -73,7 +76,7 @@ def queries():
     return {
         "graph_attrs_card": attrs_card,
         "graph_attrs_zero": attrs_zero,
-        "cluster_assign": lambda s, d: linked(s, d).select("id", *ATTRIBUTES, "cluster_id"),
+        "cluster_assign": lambda s, d: linked(s, d).select("id", "cluster_id", "degree"),
         "graph_degree": lambda s, d: linked(s, d).select("id", "degree"),
         "graph_membership": lambda s, d: graph.membership(linked(s, d), "id"),
         "graph_edges": lambda s, d: graph.cluster_links(linked(s, d)),
@@ -100,11 +103,14 @@ def queries():
 
 
 def oracle():
-    attrs = ", ".join(f"coalesce({a}, 0) AS {a}" for a in ATTRIBUTES)
-    order = ", ".join(f"coalesce({a}, 0)" for a in ATTRIBUTES)
+    clean_cols = [c for c in _CLEAN if c not in ("id", L.LABEL, L.DATE)]
+    # A value's code follows its first id; a column that isn't chosen tells no rows apart.
+    few = ", ".join(f"count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) < 10 AS has_{c}" for c in clean_cols)
+    first = ", ".join(f"CASE WHEN has_{c} THEN min(id) OVER (PARTITION BY {c}) ELSE 0 END AS code_{c}" for c in clean_cols)
+    order = ", ".join(f"code_{c}" for c in clean_cols)
     linked = (
-        f"SELECT id, {attrs}, {', '.join(f'{e} AS {n}' for n, e in ROOTS.items())}, dense_rank() OVER (ORDER BY {order}) - 1 AS cluster_id, "
-        f"count(*) OVER (PARTITION BY {order}) AS degree FROM ({CLEAN})"
+        f"SELECT id, {', '.join(ROOTS)}, dense_rank() OVER (ORDER BY {order}) - 1 AS cluster_id, count(*) OVER (PARTITION BY {order}) "
+        f"AS degree FROM (SELECT id, {', '.join(f'{e} AS {n}' for n, e in ROOTS.items())}, {first} FROM ({CLEAN}), (SELECT {few} FROM ({CLEAN})))"
     )
     # The matrix form, pair by pair: sum over linked rows of x / (sqrt(d_i) * sqrt(d_j)).
     pairs = (
@@ -115,12 +121,9 @@ def oracle():
     head = f"WITH linked AS MATERIALIZED ({linked}), pairs AS ({pairs}) "
     scored = frame_sql("scored")
     vec = frame_sql("vectors")
-    clean_cols = [c for c in ("addr_state application_type dti earliest_cr_line emp_length home_ownership initial_list_status "
-                              "installment int_rate loan_amnt mort_acc open_acc pub_rec pub_rec_bankruptcies purpose revol_util "
-                              "sub_grade term total_acc verification_status log_annual_inc fico_score log_revol_bal").split()]
     distinct = "count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
     apps = frame_sql("application")
-    app_cols = [c for c in FRAMES["application"][2] if c not in ("SK_ID_CURR", "TARGET")]
+    app_cols = [c for c in FRAMES["application"][1] if c not in ("SK_ID_CURR", "TARGET")]
     text = {"NAME_SEGMENT", "FLAG_CAR"}
     zero = " UNION ALL ".join(
         f"SELECT '{c}' AS attribute, {distinct.format(c=c)} AS k, "
@@ -158,7 +161,7 @@ def oracle():
         "graph_attrs_card": f"SELECT \"column\" AS attribute, (SELECT count(*) FROM ({CLEAN})) AS n FROM "
         f"({_per_column(distinct, 'k', clean_cols, CLEAN)}) WHERE k < 10",
         "graph_attrs_zero": f"SELECT attribute, n FROM ({zero}) WHERE k < 20 AND z < 0.3",
-        "cluster_assign": f"SELECT id, {', '.join(ATTRIBUTES)}, cluster_id FROM ({linked})",
+        "cluster_assign": f"SELECT id, cluster_id, degree FROM ({linked})",
         "graph_degree": f"SELECT id, degree FROM ({linked})",
         "graph_membership": f"SELECT id, cluster_id FROM ({linked})",
         "graph_edges": f"WITH linked AS MATERIALIZED ({linked}) SELECT a.cluster_id, count(DISTINCT a.id) AS degree, count(*) AS links "

@@ -206,7 +206,7 @@ INSTALMENT_AGG, INSTALMENT_COLS = two_windows(
 # Instalment days are doubles, so their overdue sum stays one.
 CARD_AGG, CARD_COLS = two_windows(CARD_SQL, A.CARD_METRICS, "CARD_", "CARD_M3", "MONTHS_BALANCE >= -3")
 
-_APP = list(FRAMES["application"][2])
+_APP = list(FRAMES["application"][1])
 APP_SQL = (
     f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in RATIOS.items())}, {_MEAN} AS APPS_EXT_SOURCE_MEAN, "
     f"coalesce({_STD}, avg({_STD}) OVER ()) AS APPS_EXT_SOURCE_STD FROM ({frame_sql('application')})"

@@ -1,13 +1,17 @@
-"""Model queries: fitted and scored on the given tables. Spark's own learners, so rows only, no SQL."""
+"""Model queries: fitted and scored on the given tables.
+
+Scores are those of Spark's own learners, so the ``clf_`` queries have no SQL. Beside each stands a ``check_`` query of the same learner and
+settings on a label planted in the given orders: row count, unusable scores, whether scores vary and whether they find the label.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.frames import frame, frame_sql, lending_tables
-from catalog.tables import rounded
-from riskloom.operators import models, neighbours, split, vectors
+from catalog.frames import frame, frame_sql, lending_tables, table
+from catalog.tables import DIM, FILL_FIRST, rounded
+from riskloom.operators import metrics, models, neighbours, split, vectors
 from riskloom.operators.running import with_row_ids
 from riskloom.plans import applicants as A
 from riskloom.plans import loans as L
@@ -20,6 +24,11 @@ _SCALED = {
     "REGION_POPULATION_RELATIVE": "REGION_POPULATION_RELATIVE * 10e0",
 }
 
+# Three numbers per order, a label that follows two of them, and the orders held out.
+_PLANTED = {"a": "((o_orderkey * 7919) % 1000) / 1000e0", "b": "((o_custkey * 104729 + o_orderkey * 31) % 997) / 997e0", "c": "((o_orderkey * 611953) % 991) / 991e0"}
+_SIGNAL = "a + b > 1"
+_HELD = "(row_id * 31 + 7) % 5 = 0"
+
 
 def _near_rows(spark, sf) -> DataFrame:
     cols = [f"{e} AS {c}" for c, e in _SCALED.items()]
@@ -46,24 +55,24 @@ def queries():
     def mlp(spark, sf):
         table = L.category_loans(loans(spark, sf), ["id"])
         train, test = L.split_loans(materialise(table.rows, "model-input"))
-        model = models.fit("mlp", train, table.values, L.LABEL, max_iter=30)
+        model = models.fit("mlp", train, table.values, L.LABEL)
         return models.score(model, test).select("id", L.LABEL, "p")
 
     def wide_deep(spark, sf):
         table, wide = L.wide_loans(loans(spark, sf), ["id"], ["id"])
         train, test = L.split_loans(materialise(table.rows, "model-input"))
-        model = models.fit_wide_deep(train, wide, [*table.values, *table.codes], L.LABEL, ["id"], max_iter=15)
+        model = models.fit_wide_deep(train, wide, [*table.values, *table.codes], L.LABEL, ["id"])
         return model.score(test).select("id", L.LABEL, "p")
 
     def graph_model(spark, sf):
         from riskloom.operators.graph import attributes_by_count
 
-        table, wide = L.wide_loans(loans(spark, sf), ["id"], ["id"])
+        table, wide = L.wide_loans(loans(spark, sf), ["id"], ["id"], named=True)
         rows = materialise(table.rows, "model-input")
         attributes = attributes_by_count(rows.select(*table.codes), 10)
         inputs = models.graph_inputs(rows, [*table.values, *wide], attributes, share=0.5)
         train, test = L.split_loans(materialise(inputs.rows, "graph-input"))
-        model = models.fit("mlp", train, inputs.columns, L.LABEL, max_iter=30)
+        model = models.fit("mlp", train, inputs.columns, L.LABEL)
         return models.score(model, test).select("id", L.LABEL, "p")
 
     def combined(spark, sf):
@@ -72,21 +81,66 @@ def queries():
         rows = vectors.combine(rows, frame(spark, sf, "vectors"), "x", 64)
         columns = [*table.values, *[f"feature_nn{i}" for i in range(64)]]
         train, test = L.split_loans(materialise(rows, "model-input"))
-        model = models.fit("rf", train, columns, L.LABEL, trees=10, depth=8)
+        model = models.fit("rf", train, columns, L.LABEL)
         return models.score(model, test).select("row_id", L.LABEL, "p")
 
     def scored(spark, sf):
-        rows = models.bounded(frame(spark, sf, "application"), ["EXT_SOURCE_1", "EXT_SOURCE_2", "AMT_CREDIT", "DAYS_BIRTH"])
-        columns = ["EXT_SOURCE_1", "EXT_SOURCE_2", "AMT_CREDIT", "DAYS_BIRTH"]
+        columns = FILL_FIRST
+        rows = models.bounded(frame(spark, sf, "application"), columns)
         rows = with_row_ids(rows.select("SK_ID_CURR", "TARGET", *columns), ["SK_ID_CURR"])
         train, valid = split.modulo_split(rows, 0.1)
         model = models.fit("dt", train, columns, "TARGET")
         return models.score(model, valid).select("SK_ID_CURR", "TARGET", "p")
 
     def pca(spark, sf):
-        rows = models.rebuild(frame(spark, sf, "vectors"), "x", 64, 8)
+        rows = models.rebuild(frame(spark, sf, "vectors"), "x", DIM, 8)
         return vectors.reconstruction_error(rows, "x", "rebuilt")
 
+    def pca_whole(spark, sf):
+        rows = models.rebuild(frame(spark, sf, "vectors"), "x", DIM, DIM)
+        return rounded(vectors.reconstruction_error(rows, "x", "rebuilt"), ["mse"], 9)
+
+    def planted(spark, sf):
+        rows = table(spark, sf, "orders").selectExpr("o_orderkey AS row_id", *[f"{e} AS {c}" for c, e in _PLANTED.items()])
+        rows = materialise(rows.selectExpr("*", f"CASE WHEN {_SIGNAL} THEN 1 ELSE 0 END AS y"), "planted")
+        return rows.filter(f"NOT ({_HELD})"), rows.filter(_HELD)
+
+    def checked(scores):
+        return scores.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(F.col("p").isNull() | ~F.col("p").between(0, 1)).alias("unusable"),
+            (F.min("p") < F.max("p")).alias("varies"),
+        ).crossJoin(metrics.auc(scores, "y").select((F.col("auc") > 0.85).alias("finds_label")))
+
+    def check(name, **options):
+        def run(spark, sf):
+            train, held = planted(spark, sf)
+            model = models.fit(name, train, list(_PLANTED), "y", valid=held, **options)
+            return checked(materialise(models.score(model, held), "scores"))
+
+        return run
+
+    def check_wide_deep(spark, sf):
+        flags = {"f_a": (F.col("a") > 0.5).cast("int"), "f_b": (F.col("b") > 0.5).cast("int")}
+        train, held = (part.withColumns(flags) for part in planted(spark, sf))
+        model = models.fit_wide_deep(train, list(flags), list(_PLANTED), "y", ["row_id"])
+        return checked(materialise(model.score(held), "scores"))
+
+    def check_graph(spark, sf):
+        train, held = planted(spark, sf)
+        rows = train.unionByName(held).withColumn("g", F.floor(F.col("a") * 20).cast("int"))
+        inputs = models.graph_inputs(rows, list(_PLANTED), ["g"], share=0.5)
+        rows = materialise(inputs.rows, "graph-input")
+        model = models.fit("mlp", rows.filter(f"NOT ({_HELD})"), inputs.columns, "y")
+        return checked(materialise(models.score(model, rows.filter(_HELD)), "scores"))
+
+    def exact_score(spark, sf):
+        """A label that one split tells apart, so a tree's scores are the label itself."""
+        rows = table(spark, sf, "orders").selectExpr("o_orderkey AS row_id", "o_orderkey % 20 AS a", "CASE WHEN o_orderkey % 20 >= 10 THEN 1 ELSE 0 END AS y")
+        rows = materialise(rows, "planted")
+        model = models.fit("dt", rows.filter(f"NOT ({_HELD})"), ["a"], "y")
+        return models.score(model, rows.filter(_HELD)).select("row_id", "y", "p")
+
     def near(spark, sf):
         rows = _near_rows(spark, sf).filter("TARGET = 1")
         return rounded(neighbours.nearest_neighbours(rows, "SK_ID_CURR", NEAR, 5), ["distance"], 9)
@@ -100,26 +154,59 @@ def queries():
         "applicant_graph": applicant_graph,
         "clf_lr": learner("lr"),
         "clf_dt": learner("dt"),
-        "clf_rf": learner("rf", trees=20, depth=8),
-        "clf_gbt": learner("gbt", rounds=10),
-        "clf_gbt_slow": learner("gbt_slow", rounds=10),
+        "clf_rf": learner("rf"),
+        "clf_gbt": learner("gbt"),
+        "clf_gbt_slow": learner("gbt_slow"),
         "clf_mlp": mlp,
         "clf_wide_deep": wide_deep,
         "clf_graph": graph_model,
         "clf_rf_combined": combined,
         "score": scored,
         "pca_reconstruct": pca,
+        "pca_whole": pca_whole,
+        "score_exact": exact_score,
+        **{f"check_{name}": check(name) for name in ("dt", "rf", "gbt", "gbt_slow", "mlp")},
+        "check_lr": check("lr", inverse_penalty=1.0),
+        "check_wide_deep": check_wide_deep,
+        "check_graph": check_graph,
         "nearest_minority": near,
-        "smote": lambda s, d: neighbours.oversample_minority(_near_rows(s, d), "TARGET", "SK_ID_CURR", NEAR),
+        "smote": lambda s, d: rounded(neighbours.oversample_minority(_near_rows(s, d), "TARGET", "SK_ID_CURR", NEAR), NEAR, 9),
     }
 
 
 def oracle():
     rows = f"SELECT SK_ID_CURR, TARGET, {', '.join(f'{e} AS {c}' for c, e in _SCALED.items())} FROM ({frame_sql('application')})"
     gap = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NEAR)
+    ranked = (
+        f"SELECT a.SK_ID_CURR, b.SK_ID_CURR AS neighbour, sqrt({gap}) AS distance, row_number() OVER (PARTITION BY a.SK_ID_CURR ORDER BY sqrt({gap}), "
+        "b.SK_ID_CURR) AS k FROM m a JOIN m b ON a.SK_ID_CURR <> b.SK_ID_CURR"
+    )
+    minority = f"m AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY SK_ID_CURR) - 1 AS pos FROM ({rows}) WHERE TARGET = 1)"
+    seed, near = 42, 5
+    drawn = {
+        what: f"(id * {times} + {seed * salt}) % {below}"
+        for (what, (times, salt)), below in zip(neighbours.DRAW.items(), ("pos", f"least({near}, pos - 1)", str(neighbours.GAP_STEPS)), strict=True)
+    }
+    between = ", ".join(f"round(a.{c} + gap * (b.{c} - a.{c}), 9) + 0e0 AS {c}" for c in NEAR)
+    plan = (
+        f"SELECT {drawn['pos']} AS at, 1 + {drawn['rank']} AS k, ({drawn['gap']}) / {float(neighbours.GAP_STEPS)!r}e0 AS gap FROM "
+        f"(SELECT count(*) FILTER (WHERE TARGET = 1) AS pos, count(*) FILTER (WHERE TARGET = 0) AS neg FROM ({rows})), range(1000000) r(id) "
+        "WHERE id < neg - pos"
+    )
+    made = (
+        f"SELECT CAST(NULL AS BIGINT) AS SK_ID_CURR, 1 AS TARGET, {between} FROM plan JOIN m a ON a.pos = plan.at JOIN d ON d.SK_ID_CURR = a.SK_ID_CURR "
+        "AND d.k = plan.k JOIN m b ON b.SK_ID_CURR = d.neighbour"
+    )
+    planted = f"SELECT o_orderkey AS row_id FROM orders WHERE {_HELD.replace('row_id', 'o_orderkey')}"
+    found = f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS unusable, true AS varies, true AS finds_label FROM ({planted})"
+    names = ("lr", "dt", "rf", "gbt", "gbt_slow", "mlp", "wide_deep", "graph")
     return {
-        "nearest_minority": f"WITH m AS MATERIALIZED (SELECT * FROM ({rows}) WHERE TARGET = 1), d AS (SELECT a.SK_ID_CURR, b.SK_ID_CURR AS "
-        f"neighbour, sqrt({gap}) AS distance FROM m a JOIN m b ON a.SK_ID_CURR <> b.SK_ID_CURR) SELECT SK_ID_CURR, CAST(k - 1 AS INTEGER) AS "
-        "rank, neighbour, round(distance, 9) + 0e0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY SK_ID_CURR ORDER BY distance, "
-        "neighbour) AS k FROM d) WHERE k <= 5",
+        "nearest_minority": f"WITH {minority}, d AS ({ranked}) SELECT SK_ID_CURR, CAST(k - 1 AS INTEGER) AS rank, neighbour, "
+        "round(distance, 9) + 0e0 AS distance FROM d WHERE k <= 5",
+        "smote": f"WITH {minority}, d AS MATERIALIZED (SELECT * FROM ({ranked}) WHERE k <= {near}), plan AS ({plan}) SELECT SK_ID_CURR, TARGET, "
+        f"{', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in NEAR)} FROM ({rows}) UNION ALL {made}",
+        "pca_whole": "SELECT CASE WHEN count(*) > 0 THEN 0e0 END AS mse FROM embeddings",
+        "score_exact": "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 20 >= 10 THEN 1 ELSE 0 END AS y, CASE WHEN o_orderkey % 20 >= 10 "
+        f"THEN 1e0 ELSE 0e0 END AS p FROM orders WHERE {_HELD.replace('row_id', 'o_orderkey')}",
+        **{f"check_{name}": found for name in names},
     }

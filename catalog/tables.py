@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.frames import frame, frame_sql, table
+from catalog.frames import FRAMES, frame, frame_sql, table
 from riskloom.functions import scalars as S
 from riskloom.operators import balance, encode, profile, scale, split, vectors
 from riskloom.operators.running import with_row_ids
@@ -15,6 +15,7 @@ from riskloom.sources import tables as sources
 
 LOANS = frame_sql("loans")
 APPS = frame_sql("application")
+DIM = 64  # elements of the given vectors
 STATUS = "loan_status IN ('Fully Paid', 'Charged Off')"
 
 
@@ -91,8 +92,8 @@ def _rank_codes(source: str, columns, order: str, missing: str) -> dict[str, str
 
 
 FACTOR_COLUMNS = ["NAME_SEGMENT", "FLAG_CAR"]
-BAG_COLUMNS = ["NAME_SEGMENT", "CODE_REGION", "CNT_FAM_MEMBERS"]
-CATEGORY_COLUMNS = ["addr_state", "purpose", "sub_grade", "home_ownership"]
+BAG_COLUMNS = ["NAME_SEGMENT", "CODE_REGION", "FLAG_CAR", "CNT_FAM_MEMBERS", "OWN_CAR_AGE"]
+CATEGORY_COLUMNS = ["addr_state", "application_type", "home_ownership", "initial_list_status", "purpose", "sub_grade", "verification_status"]
 
 
 def _bag_sql() -> str:
@@ -109,8 +110,9 @@ def _bag_sql() -> str:
     return f"WITH codes AS ({codes}) SELECT t.SK_ID_CURR, {cols}, (SELECT count(*) FROM codes) AS n_codes FROM ({APPS}) t {joins}"
 
 
-SCALED = ["dti", "emp_length", "fico_score", "loan_amnt", "mort_acc", "revol_util"]
-FILL_FIRST = ["AMT_ANNUITY", "AMT_CREDIT", "CNT_FAM_MEMBERS", "DAYS_EMPLOYED", "EXT_SOURCE_1", "OWN_CAR_AGE"]
+SCALED = [c for c in _CLEAN if c not in (*CATEGORY_COLUMNS, "id", "issue_d", "loan_label")]
+_APP_TEXT = ["NAME_SEGMENT", "FLAG_CAR"]
+FILL_FIRST = [c for c in FRAMES["application"][1] if c not in (*_APP_TEXT, "SK_ID_CURR", "TARGET")]
 
 
 def _scaled(c: str, lo: str, hi: str) -> str:
@@ -145,6 +147,13 @@ def queries():
         frame(spark, sf, "previous_application").write.option("header", True).option("nullValue", "N/A").csv(path)
         return sources.read_inferred(spark, path)
 
+    def scan_text(spark, sf):
+        path = new_path(spark, "csv")
+        out = table(spark, sf, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"')
+        out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+        return sources.read_typed(spark, path, kinds, multi_line=True)
+
     def parse_issue_date(spark, sf):
         text = loans(spark, sf).select("id", F.date_format("issue_d", "MMM-yyyy").alias("issue_d"))
         return text.select("id", S.to_date_time("issue_d", "MMM-yyyy").cast("timestamp_ntz").alias("issue_d"))
@@ -158,7 +167,7 @@ def queries():
 
     def feature_combine(spark, sf):
         base = apps(spark, sf).select(F.col("SK_ID_CURR").alias("row_id"), "AMT_ANNUITY")
-        return vectors.combine(base, frame(spark, sf, "vectors"), "x", 8)
+        return vectors.combine(base, frame(spark, sf, "vectors"), "x", DIM)
 
     def roles_name(spark, sf):
         from riskloom.plans.applicants import application_columns
@@ -186,6 +195,7 @@ def queries():
     return {
         "scan_typed": scan_typed,
         "scan_inferred": scan_inferred,
+        "scan_text": scan_text,
         "parse_issue_date": parse_issue_date,
         "sample_rows": lambda s, d: sources.sample_rows(scored(s, d), 0.01, "row_id"),
         "feature_roundtrip": feature_roundtrip,
@@ -220,7 +230,7 @@ def queries():
         "bag_encode": bag,
         "category_codes": lambda s, d: encode.category_codes(clean(s, d).select("id", *CATEGORY_COLUMNS), CATEGORY_COLUMNS),
         "one_hot_drop_first": lambda s, d: _plain_names(
-            encode.one_hot_drop_first(clean(s, d).select("id", "application_type", "sub_grade", "verification_status"))
+            encode.one_hot_drop_first(clean(s, d).select("id", *CATEGORY_COLUMNS))
         ),
         "one_hot_wide": lambda s, d: encode.one_hot_few(
             apps(s, d).select("SK_ID_CURR", "CODE_REGION", "NAME_SEGMENT", "FLAG_CAR", "TARGET").fillna("none", ["NAME_SEGMENT"]),
@@ -270,15 +280,17 @@ def oracle():
     clean_cols = [c for c in _CLEAN if c not in ("id", "loan_label", "issue_d")]
     counts = "count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
     factor = _rank_codes(APPS, FACTOR_COLUMNS, "SK_ID_CURR", "WHERE {c} IS NOT NULL")
-    hot = {
-        "application_type": ["Joint App"],
-        "sub_grade": None,
-        "verification_status": ["Source Verified", "Verified"],
+    hot = {  # sorted levels; the first gets no indicator
+        "addr_state": sorted(f"S{n}" for n in range(25)),
+        "application_type": ["Individual", "Joint App"],
+        "home_ownership": ["MORTGAGE", "OTHER", "OWN", "RENT"],
+        "initial_list_status": ["f", "w"],
+        "purpose": ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"],
+        "sub_grade": [f"{a}{b}" for a in "ABCDEFG" for b in range(1, 6)],
+        "verification_status": ["Not Verified", "Source Verified", "Verified"],
     }
-    grades = [f"{a}{b}" for a in "ABCDEFG" for b in range(1, 6)]
-    hot["sub_grade"] = grades[1:]
     hot_sql = ", ".join(
-        f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS {c}_{v.replace(' ', '_')}" for c, vs in hot.items() for v in vs
+        f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{c}_{v.replace(' ', '_')}\"" for c, vs in hot.items() for v in vs[1:]
     )
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "none"]
     wide = {"NAME_SEGMENT": [f"'{v}'" for v in segments], "FLAG_CAR": ["'N'", "'Y'"], "TARGET": ["0", "1"]}
@@ -297,10 +309,11 @@ def oracle():
         "DAYS_FIRST_DRAWING, DAYS_FIRST_DUE, DAYS_LAST_DUE_1ST_VERSION, DAYS_LAST_DUE, DAYS_TERMINATION"
     )
     days = "date_trunc('month', o_orderdate)"
-    elements = ", ".join(f"coalesce(CAST(x[{i + 1}] AS DOUBLE), 0e0) AS feature_nn{i}" for i in range(8))
+    elements = ", ".join(f"coalesce(CAST(x[{i + 1}] AS DOUBLE), 0e0) AS feature_nn{i}" for i in range(DIM))
     return {
         "scan_typed": frame_sql("pos_cash_balance"),
         "scan_inferred": f"SELECT {inferred} FROM ({prev})",
+        "scan_text": "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
         "parse_issue_date": f"SELECT o_orderkey AS id, {days} AS issue_d FROM orders JOIN customer ON o_custkey = c_custkey",
         "sample_rows": f"SELECT * FROM ({SCORED}) WHERE row_id % 100 = 0",
         "feature_roundtrip": "SELECT vec_id AS row_id, CAST(len(embedding) AS INTEGER) AS n, "
@@ -361,12 +374,10 @@ def oracle():
 
 
 def _zero_sql() -> str:
-    from catalog.frames import FRAMES
-
-    text = {"NAME_SEGMENT", "FLAG_CAR"}
+    text = set(_APP_TEXT)
     return " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", "
         + ("min(0e0)" if c in text else f"round(avg(CASE WHEN {c} = 0 THEN 1e0 ELSE 0e0 END), 9) + 0e0")
         + f" AS zero_share FROM ({APPS})"
-        for c in FRAMES["application"][2]
+        for c in FRAMES["application"][1]
     )

@@ -6,9 +6,11 @@ none of its own: a value's first appearance is the smallest order key it has.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,11 +79,33 @@ def _first_seen(df: DataFrame, columns: Sequence[str], order: Sequence[str]) ->
     )
 
 
+# A column with at most this many values is coded by a CASE in the projection, not by a join.
+CASE_LEVELS = 64
+
+
+def _case(column: str, kind: T.DataType, rows: Sequence, default: int | None) -> str:
+    slot, value = slot_of(kind), slot_value(column, kind)
+    known = " ".join(f"WHEN {value} = {literal(r[slot])} THEN {r['code']}" for r in rows if r[slot] is not None)
+    missing = next((str(r["code"]) for r in rows if r[slot] is None), "NULL" if default is None else str(default))
+    other = "NULL" if default is None else str(default)
+    return f"CAST(CASE WHEN {value} IS NULL THEN {missing} {known} ELSE {other} END AS INT) AS {quoted(column)}"
+
+
 def _apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], default: int | None) -> DataFrame:
-    """Replace each column by its code; ``codes`` (materialised) has i, w, r, t, n and code."""
+    """Replace each column by its code; ``codes`` (materialised) has i, w, r, t, n and code.
+
+    All columns with few values are replaced in one projection, the others by one lookup each.
+    """
     sizes = {m["i"]: MappingSize(m["keys"], m["rows"], m["bytes"]) for m in measure(codes, "n", ["i"])}
-    out = df
+    few = {i: [] for i in range(len(columns)) if i in sizes and sizes[i].keys <= CASE_LEVELS}
+    for r in codes.filter(F.col("i").isin(list(few))).select("i", "w", "r", "t", "code").collect() if few else []:
+        few[r["i"]].append(r)  # at most CASE_LEVELS per column
+    few = {i: rows for i, rows in few.items() if all(r["r"] is None or math.isfinite(r["r"]) for r in rows)}
+    cases = {columns[i]: _case(columns[i], df.schema[columns[i]].dataType, rows, default) for i, rows in few.items()}
+    out = df.selectExpr(*[cases.get(c, quoted(c)) for c in df.columns])
     for i, c in enumerate(columns):
+        if i in few:
+            continue
         key, kind = "__key", df.schema[c].dataType
         mapping = codes.filter(F.col("i") == i).select(
             F.col(slot_of(kind)).alias(key), F.col("n").alias("__n"), F.col("code").alias("__code")
@@ -115,16 +139,19 @@ def factorize(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> Da
     return _apply_codes(df, codes, columns, default=-1)
 
 
-def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Codes by sorted value within each column; missing becomes -1."""
+def _sorted_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values = (
         column_values(df, columns)
         .filter("w is not null or r is not null or t is not null")
         .groupBy("i", "w", "r", "t")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    codes = materialise(_ordinal_within_column(values, [F.col("w"), F.col("r"), F.col("t")]), "codes")
-    return _apply_codes(df, codes, columns, default=-1)
+    return materialise(_ordinal_within_column(values, [F.col("w"), F.col("r"), F.col("t")]), "codes")
+
+
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Codes by sorted value within each column; missing becomes -1."""
+    return _apply_codes(df, _sorted_codes(df, columns), columns, default=-1)
 
 
 def bag_dictionary(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -141,20 +168,14 @@ def bag_encode(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> t
 # -- indicator columns -----------------------------------------------------------
 
 
-def column_levels(df: DataFrame, columns: Sequence[str], max_levels: int) -> dict[str, list]:
-    """Sorted non-missing values per column; raises where one has more than allowed."""
-    few = distinct_up_to(df, max_levels + 1, columns)
-    levels: dict[str, list] = {}
-    wide = [c for c in columns if c not in few]
-    if not wide:
-        rows = column_values(df, columns).distinct().collect()  # at most max_levels + 1 per column
-        for i, c in enumerate(columns):
-            slot = slot_of(df.schema[c].dataType)
-            levels[c] = sorted(r[slot] for r in rows if r["i"] == i and r[slot] is not None)
-        wide = [c for c in columns if len(levels[c]) > max_levels]
-    if wide:
-        raise ValueError(f"more than {max_levels} levels, use codes instead: " + ", ".join(wide))
-    return levels
+def column_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+    """Sorted non-missing values per column, for named indicator columns.
+
+    Asking for names means that many columns and driver rows; ``one_hot_vectors`` takes any number of values.
+    """
+    rows = column_values(df, columns).distinct().collect()
+    slots = [slot_of(df.schema[c].dataType) for c in columns]
+    return {c: sorted(r[slots[i]] for r in rows if r["i"] == i and r[slots[i]] is not None) for i, c in enumerate(columns)}
 
 
 def level_name(column: str, level) -> str:
@@ -171,20 +192,46 @@ def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = False, ke
     return df.selectExpr(*[quoted(c) for c in df.columns if keep or c not in levels], *added)
 
 
-def one_hot_drop_first(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 200) -> DataFrame:
-    """Indicators for every level but the first sorted one; text columns by default."""
+def one_hot_drop_first(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Named indicators for every level but the first sorted one; text columns by default."""
     columns = list(columns if columns is not None else text_columns(df))
-    return one_hot(df, column_levels(df, columns, max_levels), drop_first=True)
+    return one_hot(df, column_levels(df, columns), drop_first=True)
 
 
-def one_hot_wide(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 200) -> DataFrame:
-    """Indicators for all levels next to the original columns; text columns by default."""
+def one_hot_wide(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Named indicators for all levels next to the original columns; text columns by default."""
     columns = list(columns if columns is not None else text_columns(df))
-    return one_hot(df, column_levels(df, columns, max_levels), keep=True)
+    return one_hot(df, column_levels(df, columns), keep=True)
 
 
 def one_hot_few(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_WIDE_LEVELS) -> DataFrame:
     """Indicators for the columns that have few values once missing ones are 0."""
     filled = df.fillna(0, subset=list(columns))
     few = distinct_up_to(filled, max_levels, columns)
-    return one_hot(filled, column_levels(filled, [c for c in columns if c in few], max_levels), keep=True)
+    return one_hot(filled, column_levels(filled, [c for c in columns if c in few]), keep=True)
+
+
+def one_hot_vectors(df: DataFrame, columns: Sequence[str] | None = None, drop_first: bool = False) -> tuple[DataFrame, list[str]]:
+    """Add a sparse 0/1 vector ``column_levels`` per column over its sorted values, however many; also the names added.
+
+    A missing value, and with ``drop_first`` the first level, is all zeros. A column without a level to tell apart gets no
+    vector. Text columns by default.
+    """
+    columns = list(columns if columns is not None else text_columns(df))
+    codes = _sorted_codes(df, columns)
+    levels = {r["i"]: r["k"] for r in codes.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}  # one row per column
+    skip = 1 if drop_first else 0
+    sizes = {c: levels.get(i, 0) - skip for i, c in enumerate(columns)}
+    used = [c for c in columns if sizes[c] > 0]
+    if not used:
+        return df, []
+    copies = [f"__code_{c}" for c in columns]
+    coded = df.withColumns({k: F.col(quoted(c)) for k, c in zip(copies, columns, strict=True)})
+    coded = _apply_codes(coded, codes, copies, default=-1)
+    # An index past the last level stands for no level: the encoder keeps it and then drops the last place.
+    index = {f"__code_{c}": F.col(quoted(f"__code_{c}")) - skip for c in used}
+    coded = coded.withColumns({k: F.when(v >= 0, v).otherwise(sizes[k[len("__code_") :]]).cast("double") for k, v in index.items()})
+    names = [f"{c}_levels" for c in used]
+    encoder = OneHotEncoder(inputCols=[f"__code_{c}" for c in used], outputCols=names, dropLast=True, handleInvalid="keep")
+    last = df.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in used)], [f"__code_{c}" for c in used])
+    return encoder.fit(last).transform(coded).drop(*copies), names

@@ -10,12 +10,14 @@ adds the few partial rows of a key up to its windows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.functions.scalars import quoted
+
 _FLOATS = (T.DoubleType, T.FloatType)
 
 
@@ -30,7 +32,7 @@ class RowWindow:
 
 @dataclass(frozen=True)
 class HistorySpec:
-    """``metrics`` maps a column to its functions: count, mean, max, min, sum, nunique."""
+    """``metrics`` maps a column to its functions: count, mean, max, min, sum, nunique (of one column at most)."""
 
     key: str
     metrics: Mapping[str, Sequence[str]]
@@ -108,17 +110,20 @@ def summarise(df: DataFrame, spec: HistorySpec) -> DataFrame:
     window has all of that window's metrics missing. Rows without key are dropped.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    is_float = {c: isinstance(types[c], _FLOATS) for c in spec.metrics}
-    distinct = [c for c, funcs in spec.metrics.items() if "nunique" in funcs]
+    # Columns go by short names here, so their own may hold any character.
+    own = {"__key" if c == spec.key else f"v{j}": c for j, c in enumerate(spec.metrics)}
+    given, spec = spec, replace(spec, key="__key", metrics={s: spec.metrics[c] for s, c in own.items()})
+    is_float = {s: isinstance(types[c], _FLOATS) for s, c in own.items()}
+    distinct = [s for s, funcs in spec.metrics.items() if "nunique" in funcs]
     if len(distinct) > 1:
-        raise ValueError("at most one column can be counted distinct: " + ", ".join(distinct))
+        raise ValueError("at most one column can be counted distinct: " + ", ".join(own[s] for s in distinct))
 
     conditions = [
         f"coalesce({w.condition}, false) AS __w{i}" for i, w in enumerate(spec.windows) if w.condition is not None
     ]
-    needed = list(dict.fromkeys([spec.key, *spec.metrics]))
-    rows = df.filter(f"{spec.key} IS NOT NULL").selectExpr(
-        *needed, *conditions, *[f"{sql} AS __x_{n}" for n, sql in spec.extra.items()]
+    needed = {"__key": given.key, **own}
+    rows = df.filter(f"{quoted(given.key)} IS NOT NULL").selectExpr(
+        *[f"{quoted(c)} AS {s}" for s, c in needed.items()], *conditions, *[f"{sql} AS __x_{n}" for n, sql in spec.extra.items()]
     )
 
     flags = [f"__w{i}" if w.condition is not None else None for i, w in enumerate(spec.windows)]
@@ -148,9 +153,9 @@ def summarise(df: DataFrame, spec: HistorySpec) -> DataFrame:
         grouped = rows.groupBy(spec.key).agg(*_aggregates({**plain, **extra}))
 
     return grouped.selectExpr(
-        spec.key,
+        f"__key AS {quoted(given.key)}",
         *[
-            f"{_output(spec, i, c, f, is_float[c])} AS {w.prefix}{c.upper()}_{f.upper()}{w.suffix}"
+            f"{_output(spec, i, c, f, is_float[c])} AS {quoted(f'{w.prefix}{own[c].upper()}_{f.upper()}{w.suffix}')}"
             for i, w in enumerate(spec.windows)
             for c, funcs in spec.metrics.items()
             for f in funcs

@@ -46,6 +46,12 @@ def measure(mapping: DataFrame, weight: str, by: Sequence[str] = ()) -> list:
     return sized.collect()
 
 
+def measured_hot(mapping: DataFrame, weight: str, hot_rows: int) -> int:
+    """Bytes of the keys that describe at least so many rows."""
+    found = mapping.filter(F.col(weight) >= hot_rows).agg(F.sum(F.expr(_bytes_of(mapping))))
+    return found.first()[0] or 0
+
+
 def lookup_join(
     rows: DataFrame,
     mapping: DataFrame,
@@ -84,6 +90,9 @@ def lookup_join(
         )
 
     hot_rows = max(1, int(size.rows * HOT_SHARE))
+    # The number of hot keys is bounded but not their bytes, so the bar rises until those fit as well.
+    while measured_hot(mapping, weight, hot_rows) > max(limit, 1 << 20):
+        hot_rows *= 2
     hot = mapping.filter(F.col(weight) >= hot_rows).withColumn("__hot", F.lit(True))
     # Always 0 here, but not a constant: a constant would be folded out of the join keys.
     cold_salt = F.when(F.col(weight) >= hot_rows, 1).otherwise(0).cast("bigint")

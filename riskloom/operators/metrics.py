@@ -83,7 +83,10 @@ def confusion(df: DataFrame, label: str = "label", p: str = "p", threshold: floa
 
 
 def macro_scores(df: DataFrame, label: str = "label", p: str = "p", threshold: float = 0.5) -> DataFrame:
-    """One row: precision, recall and F1, each the plain mean over both classes (0/0 is 0)."""
+    """One row: precision, recall and F1, each the plain mean over the classes in truth or prediction (0/0 is 0).
+
+    Without rows there is no class, and the scores are missing.
+    """
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
 
@@ -95,12 +98,15 @@ def macro_scores(df: DataFrame, label: str = "label", p: str = "p", threshold: f
         ratio(tn, tn + fp).alias("r0"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         ratio(2 * tn, 2 * tn + fn + fp).alias("f0"),
+        (tp + fp + fn > 0).cast("int").alias("has_1"),
+        (tn + fn + fp > 0).cast("int").alias("has_0"),
     )
-    return out.select(
-        ((F.col("p1") + F.col("p0")) / 2).alias("precision"),
-        ((F.col("r1") + F.col("r0")) / 2).alias("recall"),
-        ((F.col("f1") + F.col("f0")) / 2).alias("f1"),
-    )
+
+    def mean(one: str, zero: str) -> Column:
+        present = F.col("has_1") + F.col("has_0")
+        return F.when(present > 0, (F.col(one) * F.col("has_1") + F.col(zero) * F.col("has_0")) / present)
+
+    return out.select(mean("p1", "p0").alias("precision"), mean("r1", "r0").alias("recall"), mean("f1", "f0").alias("f1"))
 
 
 def error_counts(df: DataFrame, label: str = "label", p: str = "p", threshold: float = 0.5) -> DataFrame:

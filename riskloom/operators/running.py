@@ -49,7 +49,7 @@ def running_totals(
     )
 
     # One row per (partition, group). Only groups that began in an earlier partition
-    # have a start above zero, at most one per partition, so `starts` has no more
+    # have a start other than zero, at most one per partition, so `starts` has no more
     # rows than there are partitions.
     sums = placed.groupBy(_PART, *within).agg(*[F.sum(_TOTAL + name).alias(name) for name in amounts])
     if within:
@@ -63,7 +63,11 @@ def running_totals(
         F.col(_PART),
         *within,
         *[F.sum(name).over(before).alias(_START + name) for name in amounts],
-    ).filter(F.greatest(F.lit(0), *[F.coalesce(F.col(_START + n), F.lit(0)) for n in amounts]) > 0)
+    )
+    begun = F.lit(False)
+    for name in amounts:
+        begun = begun | (F.coalesce(F.col(_START + name), F.lit(0)) != 0)
+    starts = starts.filter(begun)
 
     on = F.col("l." + _PART) == F.col("s." + _PART)
     for w in within:

@@ -140,6 +140,18 @@ CARD_METRICS = {
     "CARD_IS_DPD_OVER_120": ("mean", "sum"),
 }
 
+# Row windows: a name's prefix and the condition on rows; none means all rows.
+PREVIOUS_ALL = ("PREV_", None)
+PREVIOUS_YEAR = ("PREV_D365_", "DAYS_DECISION > -365")
+DECIDED_STATUSES = ("Approved", "Refused")
+BUREAU_ALL = ("BUREAU_", None)
+BUREAU_ACTIVE = ("BUREAU_ACT_", "CREDIT_ACTIVE = 'Active'")
+BUREAU_RECENT = ("BUREAU_ACT_", "DAYS_CREDIT > -750")  # named like the active summary, as its users expect
+BALANCE_PREFIX = "BUREAU_BAL_"
+POS_WINDOWS = [("POS_", None), ("POS_M20", "MONTHS_BALANCE > -20")]
+INSTALMENT_WINDOWS = [("INS_", None), ("INS_D365", "DAYS_ENTRY_PAYMENT >= -365")]
+CARD_WINDOWS = [("CARD_", None), ("CARD_M3", "MONTHS_BALANCE >= -3")]
+
 # ---- End of fixed values ----
 
 
@@ -215,38 +227,33 @@ def card_columns(card: DataFrame) -> DataFrame:
 # -- summaries -----------------------------------------------------------------
 
 
-def _all(prefix: str) -> RowWindow:
-    return RowWindow(prefix)
-
-
-def _previous_year() -> RowWindow:
-    return RowWindow("PREV_D365_", "DAYS_DECISION > -365")
+def _within(rows: DataFrame, metrics: Mapping[str, Sequence[str]], window: tuple[str, str]) -> DataFrame:
+    """Summary of the rows of one window alone."""
+    prefix, condition = window
+    return summarise(rows.filter(condition), HistorySpec(KEY, metrics, [RowWindow(prefix)]))
 
 
 def _decided(status: str) -> str:
     """1 for the status, 0 for the other decided one, missing for undecided rows."""
     name = "NAME_CONTRACT_STATUS"
-    return f"CASE WHEN {name} IN ('Approved', 'Refused') THEN CAST({name} = '{status}' AS BIGINT) END"
+    return f"CASE WHEN {name} IN {DECIDED_STATUSES} THEN CAST({name} = '{status}' AS BIGINT) END"
 
 
 def previous_amounts(prev: DataFrame) -> DataFrame:
-    return summarise(previous_columns(prev), HistorySpec(KEY, PREVIOUS_METRICS, [_all("PREV_")]))
+    return summarise(previous_columns(prev), HistorySpec(KEY, PREVIOUS_METRICS, [RowWindow(*PREVIOUS_ALL)]))
 
 
 def previous_year_amounts(prev: DataFrame) -> DataFrame:
-    recent = _previous_year()
-    rows = previous_columns(prev).filter(recent.condition)
-    return summarise(rows, HistorySpec(KEY, PREVIOUS_METRICS, [_all(recent.prefix)]))
+    return _within(previous_columns(prev), PREVIOUS_METRICS, PREVIOUS_YEAR)
 
 
 def previous_status_counts(prev: DataFrame) -> DataFrame:
     """Approved and refused applications per applicant that has any of them."""
     return (
-        prev.filter(F.col("NAME_CONTRACT_STATUS").isin("Approved", "Refused") & F.col(KEY).isNotNull())
+        prev.filter(F.col("NAME_CONTRACT_STATUS").isin(*DECIDED_STATUSES) & F.col(KEY).isNotNull())
         .groupBy(KEY)
         .agg(
-            F.sum(F.expr(_decided("Approved"))).alias("PREV_APPROVED_COUNT"),
-            F.sum(F.expr(_decided("Refused"))).alias("PREV_REFUSED_COUNT"),
+            *[F.sum(F.expr(_decided(s))).alias(f"PREV_{s.upper()}_COUNT") for s in DECIDED_STATUSES],
         )
     )
 
@@ -256,7 +263,7 @@ def previous_features(prev: DataFrame) -> DataFrame:
     spec = HistorySpec(
         KEY,
         PREVIOUS_METRICS,
-        [_all("PREV_"), _previous_year()],
+        [RowWindow(*PREVIOUS_ALL), RowWindow(*PREVIOUS_YEAR)],
         extra={"__refused": _decided("Refused"), "__approved": _decided("Approved")},
     )
     out = summarise(previous_columns(prev), spec)
@@ -270,18 +277,15 @@ def previous_features(prev: DataFrame) -> DataFrame:
 
 
 def bureau_amounts(bureau: DataFrame) -> DataFrame:
-    return summarise(bureau_columns(bureau), HistorySpec(KEY, BUREAU_METRICS, [_all("BUREAU_")]))
+    return summarise(bureau_columns(bureau), HistorySpec(KEY, BUREAU_METRICS, [RowWindow(*BUREAU_ALL)]))
 
 
 def bureau_active_amounts(bureau: DataFrame) -> DataFrame:
-    rows = bureau_columns(bureau).filter(F.col("CREDIT_ACTIVE") == "Active")
-    return summarise(rows, HistorySpec(KEY, BUREAU_METRICS, [_all("BUREAU_ACT_")]))
+    return _within(bureau_columns(bureau), BUREAU_METRICS, BUREAU_ACTIVE)
 
 
 def bureau_recent_amounts(bureau: DataFrame) -> DataFrame:
-    """The last 750 days; named like the active summary, as its users expect."""
-    rows = bureau_columns(bureau).filter(F.col("DAYS_CREDIT") > -750)
-    return summarise(rows, HistorySpec(KEY, BUREAU_METRICS, [_all("BUREAU_ACT_")]))
+    return _within(bureau_columns(bureau), BUREAU_METRICS, BUREAU_RECENT)
 
 
 def bureau_balance_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
@@ -306,7 +310,7 @@ def bureau_balance_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
     )
     owners = bureau.select("SK_ID_BUREAU", KEY).filter(F.col(KEY).isNotNull())
     n = F.sum("n")
-    p = "BUREAU_BAL_"
+    p = BALANCE_PREFIX
     return (
         per_credit.join(owners, "SK_ID_BUREAU")
         .groupBy(KEY)
@@ -329,9 +333,9 @@ def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
         KEY,
         BUREAU_METRICS,
         [
-            _all("BUREAU_"),
-            RowWindow("BUREAU_ACT_", "CREDIT_ACTIVE = 'Active'", "_x"),
-            RowWindow("BUREAU_ACT_", "DAYS_CREDIT > -750", "_y"),
+            RowWindow(*BUREAU_ALL),
+            RowWindow(*BUREAU_ACTIVE, "_x"),
+            RowWindow(*BUREAU_RECENT, "_y"),
         ],
     )
     out = summarise(bureau_columns(bureau), spec)
@@ -346,18 +350,15 @@ def bureau_features(bureau: DataFrame, balance: DataFrame) -> DataFrame:
 
 
 def pos_features(pos: DataFrame) -> DataFrame:
-    windows = [_all("POS_"), RowWindow("POS_M20", "MONTHS_BALANCE > -20")]
-    return summarise(pos_columns(pos), HistorySpec(KEY, POS_METRICS, windows))
+    return summarise(pos_columns(pos), HistorySpec(KEY, POS_METRICS, [RowWindow(*w) for w in POS_WINDOWS]))
 
 
 def instalment_features(install: DataFrame) -> DataFrame:
-    windows = [_all("INS_"), RowWindow("INS_D365", "DAYS_ENTRY_PAYMENT >= -365")]
-    return summarise(instalment_columns(install), HistorySpec(KEY, INSTALMENT_METRICS, windows))
+    return summarise(instalment_columns(install), HistorySpec(KEY, INSTALMENT_METRICS, [RowWindow(*w) for w in INSTALMENT_WINDOWS]))
 
 
 def card_features(card: DataFrame) -> DataFrame:
-    windows = [_all("CARD_"), RowWindow("CARD_M3", "MONTHS_BALANCE >= -3")]
-    return summarise(card_columns(card), HistorySpec(KEY, CARD_METRICS, windows))
+    return summarise(card_columns(card), HistorySpec(KEY, CARD_METRICS, [RowWindow(*w) for w in CARD_WINDOWS]))
 
 
 def applicant_features(tables: Mapping[str, DataFrame]) -> DataFrame:

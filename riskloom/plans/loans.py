@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import leading_int, log10_plus1, midpoint, remap, trailing_year
 from riskloom.operators import encode, scale, split
 from riskloom.operators.profile import require_dense, value_shares
+from riskloom.session import materialise
 
 # ---- Fixed values: kept columns, statuses and replacements ----
 
@@ -99,7 +100,7 @@ class LoanTable:
 
 def coded_loans(loans: DataFrame, keys: Sequence[str], order: Sequence[str]) -> LoanTable:
     """Scaled value columns and shared-dictionary codes, for the graph model."""
-    clean = clean_loans(loans, keys)
+    clean = materialise(clean_loans(loans, keys), "clean")
     values, codes = encode.roles_by_count(clean, [*keys, LABEL, DATE])
     rows = scale.min_max_scale(clean, values, fill=False)
     rows, n = encode.bag_encode(rows, codes, order)
@@ -107,32 +108,40 @@ def coded_loans(loans: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 
 def indicator_loans(loans: DataFrame, keys: Sequence[str]) -> LoanTable:
-    """Text as indicators without the first level, everything scaled, for the baselines."""
-    clean = clean_loans(loans, keys)
+    """Text as indicator vectors without the first level, everything scaled, for the baselines."""
+    clean = materialise(clean_loans(loans, keys), "clean")
     text = [c for c in encode.text_columns(clean) if c not in set(keys)]
     numbers = [c for c in clean.columns if c not in {*keys, *text, LABEL, DATE}]
     # An indicator is 1 in some row and 0 in another, so scaling would not change it.
-    rows = encode.one_hot_drop_first(scale.min_max_scale(clean, numbers), text)
-    return LoanTable(rows, [c for c in rows.columns if c not in {*keys, LABEL, DATE}], [])
+    rows, flags = encode.one_hot_vectors(scale.min_max_scale(clean, numbers), text, drop_first=True)
+    return LoanTable(rows.drop(*text), [*numbers, *flags], [])
 
 
 def category_loans(loans: DataFrame, keys: Sequence[str]) -> LoanTable:
     """Text as sorted category codes, everything scaled, for the perceptron."""
-    clean = clean_loans(loans, keys)
+    clean = materialise(clean_loans(loans, keys), "clean")
     text = [c for c in encode.text_columns(clean) if c not in set(keys)]
     rows = encode.category_codes(clean, text)
     values = [c for c in rows.columns if c not in {*keys, LABEL, DATE}]
     return LoanTable(scale.min_max_scale(rows, values), values, [])
 
 
-def wide_loans(loans: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[LoanTable, list[str]]:
-    """As ``coded_loans``, with indicators of all text levels next to it (second result)."""
-    clean = clean_loans(loans, keys)
+def wide_loans(
+    loans: DataFrame, keys: Sequence[str], order: Sequence[str], named: bool = False
+) -> tuple[LoanTable, list[str]]:
+    """As ``coded_loans``, with indicators of all text levels next to it (second result).
+
+    They are sparse vectors, one per text column; with ``named`` a column per level, which suits few levels only.
+    """
+    clean = materialise(clean_loans(loans, keys), "clean")
     text = [c for c in encode.text_columns(clean) if c not in set(keys)]
     values, codes = encode.roles_by_count(clean, [*keys, LABEL, DATE])
-    levels = encode.column_levels(clean, text, 200)
-    wide = [encode.level_name(c, v) for c in text for v in levels[c]]
-    rows = encode.one_hot(clean, levels, keep=True)
+    if named:
+        levels = encode.column_levels(clean, text)
+        wide = [encode.level_name(c, v) for c in text for v in levels[c]]
+        rows = encode.one_hot(clean, levels, keep=True)
+    else:
+        rows, wide = encode.one_hot_vectors(clean, text)
     rows = scale.min_max_scale(rows, values)
     rows, n = encode.bag_encode(rows, codes, order)
     return LoanTable(rows, values, codes, n), wide

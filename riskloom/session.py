@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +44,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    return "/".join([shared_folder(spark), "tables", *_scopes[-1:], f"{label}-{uuid.uuid4().hex}"])
+
+
+@contextmanager
+def scoped_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what is materialised inside once the block ends: use results, or write them elsewhere, before that."""
+    name = f"scope-{uuid.uuid4().hex}"
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.remove(name)
+        _delete(spark, f"{shared_folder(spark)}/tables/{name}")
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
@@ -60,5 +77,9 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 
 def clear_tables(spark: SparkSession) -> None:
     """Delete the tables this session materialised, once none of its results is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tables")
+    _delete(spark, f"{shared_folder(spark)}/tables")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.scalars import scrub_nan, to_date_time
+from riskloom.functions.scalars import quoted, scrub_nan, to_date_time
 
 # ---- Fixed values: missing-value texts, declared column types, file names ----
 
@@ -28,7 +28,6 @@ MISSING_TEXTS = [
     "NA",
     "NULL",
     "NaN",
-    "None",
     "n/a",
     "nan",
     "null",
@@ -66,51 +65,70 @@ LENDING_FILES = {
 # ---- End of fixed values ----
 
 
-def _text_table(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text, missing-value texts as NULL. A byte-order mark is dropped by the reader."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    return raw.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+_SURPLUS = "__surplus"
+_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
-def read_typed(spark: SparkSession, path: str, types: str | T.StructType) -> DataFrame:
+def _text_table(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Every column as text, missing-value texts as NULL. A byte-order mark is dropped by the reader.
+
+    Quoted values may span lines with ``multi_line``, which reads each file in one task; without it a file is split at line
+    breaks. A record with more fields than the header is an error, one with fewer has missing values at its end.
+    """
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _SURPLUS]])
+    raw = spark.read.options(**options).schema(schema).csv(path)
+    surplus = F.raise_error(F.lit(f"a record of {path} has more fields than the header")).cast("boolean")
+    raw = raw.filter(F.when(F.col(_SURPLUS).isNull(), F.lit(True)).otherwise(surplus))
+    cells = {c: F.col(quoted(c)) for c in names}
+    return raw.select(*[F.when(~v.isin(MISSING_TEXTS), v).alias(c) for c, v in cells.items()])
+
+
+def read_typed(spark: SparkSession, path: str, types: str | T.StructType, multi_line: bool = False) -> DataFrame:
     """CSV with declared types; other columns of the file are kept as text.
 
     Text that does not fit its declared type is an error, a missing-value text is NULL.
     """
     declared = types if isinstance(types, T.StructType) else T.StructType.fromDDL(types)
     kinds = {f.name: f.dataType for f in declared.fields}
-    text = _text_table(spark, path)
+    text = _text_table(spark, path, multi_line)
     absent = [c for c in kinds if c not in text.columns]
     if absent:
         raise KeyError("columns not in the file: " + ", ".join(absent))
-    return scrub_nan(text.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in text.columns]))
+    cells = {c: F.col(quoted(c)) for c in text.columns}
+    return scrub_nan(text.select(*[v.cast(kinds[c]).alias(c) if c in kinds else v for c, v in cells.items()]))
 
 
 def infer_types(text: DataFrame) -> T.StructType:
-    """Whole numbers, reals or text per column, in one pass; whole numbers with gaps are reals."""
-    def cells(c: str) -> list[Column]:
-        v = F.col(f"`{c}`")
+    """Whole numbers, reals or text per column, in one pass; whole numbers with gaps are reals.
+
+    A number is digits with an optional sign, point and exponent; the engine's own suffixes (1d, 2F) are text.
+    """
+    def cells(i: int, c: str) -> list[Column]:
+        v = F.col(quoted(c))
+        number = v.isNull() | v.rlike(_NUMBER)
         return [
-            F.every(v.isNull() | v.try_cast("bigint").isNotNull()).alias("w_" + c),
-            F.every(v.isNull() | v.try_cast("double").isNotNull()).alias("r_" + c),
-            F.some(v.isNull()).alias("m_" + c),
+            F.every(number & (v.isNull() | v.try_cast("bigint").isNotNull())).alias(f"w_{i}"),
+            F.every(number & (v.isNull() | v.try_cast("double").isNotNull())).alias(f"r_{i}"),
+            F.some(v.isNull()).alias(f"m_{i}"),
         ]
 
-    found = text.agg(*[cell for c in text.columns for cell in cells(c)]).first()
+    found = text.agg(*[cell for i, c in enumerate(text.columns) for cell in cells(i, c)]).first()
 
-    def kind(c: str) -> T.DataType:
-        if found["w_" + c] and not found["m_" + c]:
+    def kind(i: int) -> T.DataType:
+        if found[f"w_{i}"] and not found[f"m_{i}"]:
             return T.LongType()
-        return T.DoubleType() if found["r_" + c] else T.StringType()
+        return T.DoubleType() if found[f"r_{i}"] else T.StringType()
 
-    return T.StructType([T.StructField(c, kind(c)) for c in text.columns])
+    return T.StructType([T.StructField(c, kind(i)) for i, c in enumerate(text.columns)])
 
 
-def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+def read_inferred(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with types taken from the values; costs one extra pass over the file."""
-    text = _text_table(spark, path)
+    text = _text_table(spark, path, multi_line)
     kinds = infer_types(text)
-    return scrub_nan(text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds.fields]))
+    return scrub_nan(text.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in kinds.fields]))
 
 
 def read_lending_tables(
@@ -132,12 +150,16 @@ def read_loans(
     sample: bool = False,
     date_format: str = "MMM-yyyy",
     types: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """The loan table, whole or (``sample``) its sample file, with ``issue_d`` parsed."""
+    """The loan table, whole or (``sample``) its sample file, with ``issue_d`` parsed.
+
+    Its free-text columns may hold line breaks, so values may span lines unless told otherwise.
+    """
     if sample and sample_path is None:
         raise ValueError("no sample file given")
     chosen = sample_path if sample else path
-    rows = read_typed(spark, chosen, types) if types else read_inferred(spark, chosen)
+    rows = read_typed(spark, chosen, types, multi_line) if types else read_inferred(spark, chosen, multi_line)
     return rows.withColumn("issue_d", to_date_time("issue_d", date_format))
 
 

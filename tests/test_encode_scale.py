@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import encode, profile, scale
 
@@ -49,8 +50,37 @@ def test_one_hot(spark):
     assert column(out, "s_b") == [1, 0, 0, 1]
     wide = encode.one_hot_wide(table(spark), ["s"])
     assert column(wide, "s_a") == [0, 0, 1, 0] and column(wide, "s") == ["b", None, "a", "b"]
-    with pytest.raises(ValueError, match="levels"):
-        encode.one_hot_wide(table(spark), ["t"], max_levels=2)
+
+
+def test_more_than_200_levels(spark):
+    df = spark.range(900).select("id", F.format_string("v%03d", F.col("id") % 300).alias("s"), F.lit(None).cast("string").alias("none"))
+    df = df.withColumn("s", F.when(F.col("id") >= 890, None).otherwise(F.col("s")))
+    named = encode.one_hot_drop_first(df, ["s"])
+    assert len(named.columns) == 2 + 299 and named.agg(F.sum("s_v123")).first()[0] == 3
+    for drop_first in (False, True):
+        rows, names = encode.one_hot_vectors(df, ["s", "none"], drop_first)
+        assert names == ["s_levels"] and rows.columns == ["id", "s", "none", "s_levels"]
+        for r in rows.collect():
+            at = None if r["s"] is None else int(r["s"][1:]) - drop_first
+            want = [] if at is None or at < 0 else [at]
+            assert r["s_levels"].size == 300 - drop_first and list(r["s_levels"].indices) == want
+
+
+def test_few_and_many_levels_are_coded_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"v'{i % 5}\\", (i % 3) / 2) for i in range(60)], "id int, s string, x double")
+    found = []
+    for limit in (0, 64):
+        monkeypatch.setattr(encode, "CASE_LEVELS", limit)
+        coded, n = encode.bag_encode(df, ["s", "x"], ["id"])
+        found.append((n, sorted(map(tuple, coded.collect())), sorted(map(tuple, encode.category_codes(df, ["s", "x"]).collect()))))
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("limit", [350, 351])
+def test_distinct_up_to_on_both_sides_of_the_sketch(spark, limit):
+    df = spark.range(3000).select((F.col("id") % 350).alias("a"), (F.col("id") % 351).alias("b"), F.when(F.col("id") % 9 > 0, F.col("id") % 350).alias("c"))
+    want = {"a": 350} | ({"b": 351, "c": 351} if limit == 351 else {})
+    assert profile.distinct_up_to(df, limit) == want
 
 
 def test_distinct_counts_include_missing(spark):

@@ -82,3 +82,11 @@ def test_undecided_applicants_have_no_share(spark):
     rows = rows.select("*", *[F.lit(1.0).alias(c) for c in cols])
     got = {r["SK_ID_CURR"]: r for r in A.previous_features(rows).collect()}
     assert math.isclose(got[1]["PREV_REFUSED_RATIO"], 1 / 3) and got[2]["PREV_REFUSED_RATIO"] is None
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 2.0, 5), (1, 4.0, -5), (2, None, 1)], "`the.key` int, `a.b` double, `c-d` int")
+    spec = HistorySpec("the.key", {"the.key": ["count"], "a.b": ["mean", "max"], "c-d": ["sum"]}, [RowWindow("P_"), RowWindow("Q_", "`c-d` > 0")])
+    got = {r["the.key"]: r.asDict() for r in summarise(df, spec).collect()}
+    assert (got[1]["P_A.B_MEAN"], got[1]["Q_A.B_MAX"], got[1]["P_C-D_SUM"], got[1]["Q_THE.KEY_COUNT"]) == (3.0, 2.0, 0, 1)
+    assert got[2]["P_A.B_MEAN"] is None and got[2]["P_THE.KEY_COUNT"] == 1

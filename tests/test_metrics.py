@@ -78,3 +78,11 @@ def test_vector_terms(spark):
     assert vectors.class_cosine(df, "x", "y", 2).first()["cosine"] == 0.0
     same = spark.createDataFrame([(1, [1.0, 1.0]), (0, [2.0, 2.0])], "y int, x array<double>")
     assert math.isclose(vectors.class_cosine(same, "x", "y", 2).first()["cosine"], 1.0)
+
+
+def test_macro_scores_leave_out_absent_classes(spark):
+    only = spark.createDataFrame([(0, 0.1), (0, 0.2)], "label int, p double")
+    assert tuple(metrics.macro_scores(only).first()) == (1.0, 1.0, 1.0)
+    both = spark.createDataFrame([(0, 0.1), (0, 0.9)], "label int, p double")  # class 1 is predicted only
+    assert tuple(metrics.macro_scores(both).first()) == (0.5, 0.25, (0 + 2 / 3) / 2)
+    assert tuple(metrics.macro_scores(only.limit(0)).first()) == (None, None, None)

@@ -35,3 +35,18 @@ def test_quantile_interpolates_and_skips_missing(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for q in (0.0, 0.3, 0.5, 0.9, 1.0):
         assert abs(weighted_quantile(df, "v", q) - float(np.quantile([v for v in values if v is not None], q))) < 1e-12
+
+
+def test_running_totals_of_negative_and_mixed_amounts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for amount in (-1, 0, "mixed"):
+            rows = [(i % 2, i, (-1) ** i * (i % 5) if amount == "mixed" else amount, 1) for i in range(100)]
+            df = spark.createDataFrame(rows, "g int, o int, x int, one int").repartition(4)
+            got = running_totals(df, ["o"], {"before": "x", "n": "one"}).orderBy("o").collect()
+            assert [r["before"] for r in got] == [sum(r[2] for r in rows[:i]) for i in range(100)]
+            assert [r["n"] for r in got] == list(range(100))
+            inside = running_totals(df, ["o"], {"before": "x"}, within=["g"]).collect()
+            assert all(r["before"] == sum(q[2] for q in rows if q[0] == r["g"] and q[1] < r["o"]) for r in inside)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -14,6 +14,18 @@ def test_materialised_tables_live_in_the_checkpoint_folder(spark):
     assert not os.path.exists(path.removeprefix("file://"))
 
 
+def test_scopes_delete_their_own_tables_only(spark):
+    outside = session.materialise(spark.range(3))
+    with session.scoped_tables(spark):
+        path = session.materialise(spark.range(5)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), session.scoped_tables(spark):
+        path = session.materialise(spark.range(5)).inputFiles()[0].removeprefix("file://")
+        1 / 0
+    assert not os.path.exists(path)
+
+
 def test_no_local_folder_on_a_cluster():
     class Context:
         master = "spark://somewhere:7077"

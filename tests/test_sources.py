@@ -34,6 +34,36 @@ def test_inferred_scan(spark, tmp_path):
     assert sorted(map(tuple, df.collect()), key=lambda r: r[0]) == [(1, 1.0, 1.5, "a, b"), (2, None, 2.0, None)]
 
 
+def test_quoted_values_may_span_lines(spark, tmp_path):
+    path = write(tmp_path / "t.csv", 'id,note,n\n1,"line one\nline ""two""",5\n2,None,6\n')
+    df = sources.read_inferred(spark, path, multi_line=True)
+    assert df.dtypes == [("id", "bigint"), ("note", "string"), ("n", "bigint")]
+    assert sorted(map(tuple, df.collect())) == [(1, 'line one\nline "two"', 5), (2, "None", 6)]
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_surplus_fields_are_an_error_and_absent_ones_missing(spark, tmp_path, multi_line):
+    short = write(tmp_path / "s.csv", "a,b\n1,2\n3\n")
+    assert sorted(map(tuple, sources.read_typed(spark, short, "a bigint, b bigint", multi_line).collect())) == [(1, 2), (3, None)]
+    for extra in ("1,2,3", "1,2,3,4"):
+        long_ = write(tmp_path / "l.csv", f"a,b\n1,2\n{extra}\n")
+        with pytest.raises(Exception, match="more fields than the header"):
+            sources.read_typed(spark, long_, "a bigint, b bigint", multi_line).select("a").collect()
+
+
+def test_codes_with_number_suffixes_stay_text(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "code,real,word\n1d,1.,inf\n2F,-.5e3,Infinity\n")
+    df = sources.read_inferred(spark, path)
+    assert df.dtypes == [("code", "string"), ("real", "double"), ("word", "double")]
+    assert sorted(r["code"] for r in df.collect()) == ["1d", "2F"]
+
+
+def test_names_with_dots_and_backticks(spark, tmp_path):
+    path = write(tmp_path / "t.csv", "a.b,c`d\n1,x\n")
+    assert tuple(sources.read_typed(spark, path, "`a.b` bigint").first()) == (1, "x")
+    assert tuple(sources.read_inferred(spark, path).first()) == (1, "x")
+
+
 def test_bundle_has_seven_tables(spark, tmp_path):
     for name, (file, declared) in sources.LENDING_FILES.items():
         head = [c.split()[0] for c in declared.split(", ")] if declared else ["SK_ID_CURR", "x"]
