@@ -24,22 +24,24 @@ SHINGLE = 5
 LEAST = 0.8
 FUNCTIONS = 16  # a pair of similarity 0.8 misses all of them with a chance of about 1 in 100,000
 KEPT = 3  # smallest shingles per function
+_CHUNK = 1 << 22  # bytes of text aligned at once
+_ROWS = 100  # per Arrow batch, as pairs of very long texts travel together
 
 
 def encoded(texts) -> list[bytes]:
     return [t.encode("utf-8", "replace") for t in texts]
 
 
-def sketches(texts: list[bytes], functions: int = FUNCTIONS, kept: int = KEPT, k: int = SHINGLE) -> np.ndarray:
-    """One signed 64-bit value per text and function; see the module. Rows of texts without words are meaningless."""
+def sketches(texts: list[bytes], functions: int = FUNCTIONS, kept: int = KEPT, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """One signed 64-bit value per text and function, see the module, and how many shingles each has; without any the values mean nothing."""
     hashes, _, _, first = words(texts)
     shingle, start = shingles(hashes, first, k)
-    counts = np.diff(start)
+    many = np.diff(start)
     out = np.zeros((len(texts), functions), np.uint64)
-    full = np.flatnonzero(counts)
+    full = np.flatnonzero(many)
     if not len(full):
-        return out.view(np.int64)
-    counts, begin = counts[full], start[full]
+        return out.view(np.int64), many
+    counts, begin = many[full], start[full]
     text = np.repeat(np.arange(len(full)), counts)
     # The n-th occurrence of a shingle in its text is told apart from the others.
     joint = mix(shingle + mix(text.astype(np.uint64)))
@@ -64,7 +66,7 @@ def sketches(texts: list[bytes], functions: int = FUNCTIONS, kept: int = KEPT, k
             here = places[:, c]
             total = mix(total + np.where(here < len(label), label[np.minimum(here, len(label) - 1)], 0).astype(np.uint64) + np.uint64(1))
         out[full, f] = total
-    return out.view(np.int64)
+    return out.view(np.int64), many
 
 
 def alike(left: list[bytes], right: list[bytes], least: float = LEAST, k: int = SHINGLE) -> np.ndarray:
@@ -72,32 +74,51 @@ def alike(left: list[bytes], right: list[bytes], least: float = LEAST, k: int =
 
     A pair of at least that similarity can't leave the band. Pairs whose shingles alone show that they fall short aren't aligned.
     """
-    hashes, _, _, first = words(left + right)
+    out = np.zeros(len(left))
+    low = 0
+    while low < len(left):  # so many bytes at a time, whatever the texts' length
+        high, size = low, 0
+        while high < len(left) and (high == low or size + len(left[high]) + len(right[high]) <= _CHUNK):
+            size += len(left[high]) + len(right[high])
+            high += 1
+        out[low:high] = _alike(left[low:high], right[low:high], least, k)
+        low = high
+    return out
+
+
+def _alike(left: list[bytes], right: list[bytes], least: float, k: int) -> np.ndarray:
+    places: dict[bytes, int] = {}  # a hub's text meets many others
+    one, two = ([places.setdefault(t, len(places)) for t in side] for side in (left, right))
+    hashes, _, _, first = words(list(places))
     shingle, start = shingles(hashes, first, k)
-    many = np.diff(start)
+    parts = [shingle[x:y] for x, y in zip(start, start[1:])]
+    known: dict[int, tuple] = {}
+
+    def counted(i: int) -> tuple:
+        if i not in known:
+            known[i] = np.unique(parts[i], return_counts=True)
+        return known[i]
+
     out = np.zeros(len(left))
     asked = []
-    for i in range(len(left)):
-        j = i + len(left)
-        a, b = shingle[start[i] : start[i + 1]], shingle[start[j] : start[j + 1]]
-        n, m = many[i], many[j]
+    for row, (i, j) in enumerate(zip(one, two, strict=True)):
+        n, m = len(parts[i]), len(parts[j])
         if not n or not m:
-            out[i] = float(n == m)
+            out[row] = float(n == m)
             continue
         if min(n, m) < least * max(n, m):
             continue
-        if n != m or (a != b).any():
+        if i != j:
             needed = least / (1 + least) * (n + m) - 1e-9
-            values, counts = np.unique(a, return_counts=True)
-            other, others = np.unique(b, return_counts=True)
+            (values, counts), (other, others) = counted(i), counted(j)
             _, x, y = np.intersect1d(values, other, assume_unique=True, return_indices=True)
             if np.minimum(counts[x], others[y]).sum() < needed:
                 continue
-        asked.append((i, a, b, int((n + m) * (1 - least) / (1 + least)) + 1))
+        asked.append((row, parts[i], parts[j], int((n + m) * (1 - least) / (1 + least)) + 1))
     found = common_length([(a, b, w) for _, a, b, w in asked])
-    for (i, a, b, _), common in zip(asked, found, strict=True):
+    for (row, a, b, _), common in zip(asked, found, strict=True):
         share = common / (len(a) + len(b) - common)
-        out[i] = share if share >= least - 1e-12 else 0.0
+        out[row] = share if share >= least - 1e-12 else 0.0
     return out
 
 
@@ -107,20 +128,19 @@ def node_of(key: Column, text: Column) -> Column:
 
 
 def _sketched(df: DataFrame, text: str, key: str) -> DataFrame:
-    """One row per text: node (its smallest key), its digest, how many words, and its sketch."""
+    """One row per text: node (its smallest key) and how many rows have that, its digest, how many shingles, and its sketch."""
 
-    @F.pandas_udf("array<bigint>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("sketch array<bigint>, size int")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series(list(sketches(encoded(texts))))
+            values, sizes = sketches(encoded(texts))
+            yield pd.DataFrame({"sketch": list(values), "size": sizes.astype(np.int32)})
 
     body = F.coalesce(named(text), F.lit(""))
-    rows = df.select(node_of(named(key), body).alias("node"), F.sha2(body, 256).alias("digest"), body.alias("body"))
-    wordless = ~F.col("body").rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]")
-    rows = rows.select("node", "digest", wordless.alias("wordless"), sketch("body").alias("sketch"))
-    rows = rows.groupBy("digest", "node").agg(F.min(F.struct("wordless", "sketch")).alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = df.select(node_of(named(key), body).alias("node"), F.sha2(body, 256).alias("digest"), sketch(body).alias("s"))
+    rows = rows.groupBy("digest", "node").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
     first = rows.groupBy("digest").agg(F.min(F.struct("node", "n", "s")).alias("r"))
-    return materialise(first.select("digest", "r.node", "r.n", "r.s.wordless", "r.s.sketch"), "sketches")
+    return materialise(first.select("digest", "r.node", "r.n", "r.s.size", "r.s.sketch"), "sketches")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -135,11 +155,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def links(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) between different texts, a < b, and the table of texts (digest, node, wordless, sketch)."""
-    small_batches(df.sparkSession, 500)
+    """Verified links (a, b, similarity) between different texts, a < b, and the table of texts (digest, node, n, size, sketch)."""
+    small_batches(df.sparkSession, _ROWS)
     known = _sketched(df, text, key)
-    spread = known.filter(~F.col("wordless")).select("node", F.posexplode("sketch").alias("band", "value"))
-    spread = spread.select(F.xxhash64("band", "value").alias("bucket"), "node")
+    spread = known.filter("size > 0").select("node", "size", F.posexplode("sketch").alias("band", "value"))
+    spread = spread.select(F.xxhash64("band", "value").alias("bucket"), "node", "size")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = materialise(spread.join(shared, "bucket"), "buckets")
     body = F.coalesce(named(text), F.lit(""))
@@ -147,7 +167,13 @@ def links(df: DataFrame, text: str = "text", key: str = "doc_id", least: float =
     wanted = materialise(members.select("node").distinct(), "wanted")
     texts = perhaps_named(texts, F.col("node"), wanted, "node").join(wanted, "node")
     texts = materialise(texts.groupBy("node").agg(F.min("body").alias("body")), "texts")
-    return hub_links(members, lambda pairs: _verify(pairs, texts, 1 - 2 * (1 - least)), least), known
+    floor = 1 - 2 * (1 - least)
+
+    def may_reach(one: str, two: str) -> Column:  # alignments hold no more shingles than the shorter text
+        n, m = F.col(one + "size"), F.col(two + "size")
+        return F.least(n, m) >= floor * F.greatest(n, m) - 1e-9
+
+    return hub_links(members, lambda pairs: _verify(pairs, texts, floor), least, may_reach), known
 
 
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:

@@ -94,13 +94,35 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(total), start
 
 
-def common_length(pairs: Sequence[tuple[np.ndarray, np.ndarray, int]], cells: int = 1 << 17) -> np.ndarray:
+def _banded(a: list[int], b: list[int], width: int) -> int:
+    """Longest common subsequence on alignments at most ``width`` off the diagonal.
+
+    A row of the alignment is one whole number: its bits are the columns of the band, 0 where the length grows by one. A row follows from the one before by
+    an addition whose carries move matches along; the band moves on by one column a row, and a zero that leaves it counts.
+    """
+    span = 2 * width + 1
+    whole, top = (1 << span) - 1, 1 << (span - 1)
+    at: dict[int, int] = {}
+    for j, value in enumerate(b):
+        at[value] = at.get(value, 0) | 1 << (j + width)
+    row, count = whole, 0
+    for i, value in enumerate(a):
+        if i:
+            count += not row & 1
+            row = row >> 1 | top
+        here = at.get(value)
+        if here is not None:
+            match = row & (here >> i)
+            row = (row + match | row - match) & whole
+    return count + span - row.bit_count()
+
+
+def common_length(pairs: Sequence[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
     """Length of the longest common subsequence of each pair (a, b, width), on alignments at most ``width`` off the diagonal.
 
-    Common beginnings and ends are taken off first. What is left is aligned row by row for many pairs at once.
+    Common beginnings and ends are taken off first.
     """
     out = np.zeros(len(pairs), np.int64)
-    rest = []
     for i, (a, b, width) in enumerate(pairs):
         n = min(len(a), len(b))
         differ = np.flatnonzero(a[:n] != b[:n])
@@ -112,27 +134,5 @@ def common_length(pairs: Sequence[tuple[np.ndarray, np.ndarray, int]], cells: in
         out[i] = head + tail
         if len(a) > tail and len(b) > tail:
             a, b = a[: len(a) - tail], b[: len(b) - tail]
-            rest.append((min(width, max(len(a), len(b))), i, a, b))
-    rest.sort(key=lambda r: (r[0], len(r[2])))
-    while rest:
-        width = rest[-1][0]
-        span = 2 * width + 1
-        group = [rest.pop()]
-        while rest and len(group) < cells // span and rest[-1][0] * 2 >= width and len(rest[-1][2]) * 2 >= len(group[0][2]):
-            group.append(rest.pop())
-        rows = max(len(a) for _, _, a, _ in group)
-        left, right = np.zeros((len(group), rows), np.uint64), np.zeros((len(group), rows + span), np.uint64)
-        known_left, known_right = np.zeros(left.shape, bool), np.zeros(right.shape, bool)
-        for g, (_, _, a, b) in enumerate(group):
-            left[g, : len(a)], known_left[g, : len(a)] = a, True
-            b = b[: rows + width]
-            right[g, width : width + len(b)], known_right[g, width : width + len(b)] = b, True
-        best = np.zeros((len(group), span), np.int32)
-        for r in range(rows):
-            same = (right[:, r : r + span] == left[:, r : r + 1]) & known_right[:, r : r + span] & known_left[:, r : r + 1]
-            now = best + same
-            np.maximum(now[:, :-1], best[:, 1:], out=now[:, :-1])
-            best = np.maximum.accumulate(now, axis=1)
-        for g, (_, i, _, _) in enumerate(group):
-            out[i] += best[g, -1]
+            out[i] += _banded(a.tolist(), b.tolist(), min(width, max(len(a), len(b))))
     return out
