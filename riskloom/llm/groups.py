@@ -79,7 +79,12 @@ def hub_links(
     told = seen[0]
     for more in seen[1:]:
         told = told.unionByName(more)
-    near, far = told.filter(F.col("away") <= limit + 1e-9).alias("n"), told.filter(F.col("away") > limit + 1e-9).alias("f")
+    # All near a hub are connected already, so only members not yet connected to it can add anything.
+    labels = materialise(components(done.filter(F.col("similarity") >= least - 1e-12)), "joined")
+    mine, theirs = labels.toDF("node", "own"), labels.toDF("hub", "hubs_own")
+    far = told.filter(F.col("away") > limit + 1e-9).join(mine, "node", "left").join(theirs, "hub", "left")
+    far = far.filter(F.coalesce("own", "node") != F.coalesce("hubs_own", "hub"))
+    near, far = told.filter(F.col("away") <= limit + 1e-9).alias("n"), materialise(far.select(*told.columns), "apart").alias("f")
     open_ = (
         (F.col("n.bucket") == F.col("f.bucket"))
         & (F.col("n.hub") == F.col("f.hub"))
