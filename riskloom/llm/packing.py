@@ -103,7 +103,17 @@ def pieces(df: DataFrame, text: str = "text", size: int = SIZE, folder: str | No
 
 
 def plan(counts: Mapping[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
-    """Fillings (lengths in order) and for how many bins each is used; every counted piece is used once."""
+    """Fillings (lengths in order) and for how many bins each is used; every counted piece is used once.
+
+    Where few lengths occur, swapping only for an exact fit, or not at all, can save bins; the counts are few, so all are planned and the
+    one with fewest bins is taken, the full swap where they tie.
+    """
+    plans = [_plan(counts, size, least) for least in (0, size, size + 1)]
+    return min(plans, key=lambda fillings: sum(bins for _, bins in fillings))
+
+
+def _plan(counts: Mapping[int, int], size: int, least: int) -> list[tuple[list[int], int]]:
+    """``least`` is how full a bin must be after its smallest piece gave way to two."""
     left = [0] * (size + 1)
     for length, n in counts.items():
         left[length] += n
@@ -137,7 +147,7 @@ def plan(counts: Mapping[int, int], size: int = SIZE) -> list[tuple[list[int], i
                 if b and a + b > max(smallest, sum(pair)):
                     pair = (a, b)
                 a = best[a - 1]
-            if pair[0]:
+            if pair[0] and size - room + sum(pair) >= least:
                 left[smallest] += 1
                 left[pair[0]] -= 1
                 left[pair[1]] -= 1
