@@ -18,8 +18,13 @@ from riskloom.session import materialise
 
 # What makes a word a candidate, what a candidate is, and the words that speak for or against a secret.
 RUN = "[A-Za-z0-9+/_-]{12,}"
-CANDIDATE = "(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}|(?i:password|passwd|pwd|secret|token|key)[\"']?[:=][\"']?[^\\s\"']{6,}"
-ASSIGNED = "(?i)^[^:=]*(?:password|passwd|pwd|secret|token|key)[\"']?[:=][\"']?([^\\s\"']{6,}).*$"
+NAME = "[A-Za-z0-9_.-]{0,200}(?i:password|passwd|pwd|secret|token|key)(?:[0-9_.-][A-Za-z0-9_.-]{0,200})?[\"']?"
+GIVES = "[:=]=?>?"
+VALUE = "[\"']?([^\\s\"']{6,})"
+NUMBERED_RUN = "(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
+CANDIDATE = f"{NUMBERED_RUN}|{NAME}\\s*{GIVES}\\s*{VALUE}"
+ASSIGNED = f"{NAME}{GIVES}{VALUE}"
+SPANNING = f"{NAME}\\s*{GIVES}\\s*{VALUE}\\S*$"  # the value lies in the last word
 SPEAKS_FOR = "(?i)passw|pwd|secret|token|key|auth|credential|bearer|access|private"
 SPEAKS_AGAINST = "(?i)example|sample|test|dummy|phone|tel|version|license|uuid|sha|md5|commit|checksum|card|order|invoice"
 ISSUED = "^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,})$"
@@ -39,22 +44,29 @@ FEATURES = [
 def candidates(df: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id") -> DataFrame:
     """(key, path, place, word, value, before, after): every candidate of the whole texts and its neighbouring words.
 
-    ``place`` counts the words of the text from 0. A word may hold several candidates. Null and empty texts hold none.
+    ``place`` counts the words of the text from 0. A word may hold several candidates: its runs and what it
+    assigns, or what the words before it assign. Null and empty texts hold none.
     """
     found = df.select(named(key).alias("key"), named(path).cast("string").alias("path"), named(text).alias("body"))
     found = found.filter(F.col("body").rlike(CANDIDATE)).select("key", "path", F.split("body", "\\s+").alias("words"))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.element_at("words", i + 1).rlike(CANDIDATE))
-    found = found.select("key", "path", "words", F.explode(places).alias("place"))
+    # A value may follow its name after blanks: a word is read with the two before it.
+    tail = F.transform("words", lambda w, i: F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1), w))
+    found = found.select("key", "path", "words", F.posexplode(tail).alias("place", "tail"))
     word = F.element_at("words", F.col("place") + 1)
+    found = found.filter(word.rlike(NUMBERED_RUN) | F.col("tail").rlike(SPANNING) | word.rlike(ASSIGNED))
     found = found.select(
-        "key", "path", "place", word.alias("word"),
+        "key", "path", "place", word.alias("word"), "tail",
         F.concat_ws(" ", F.slice("words", F.greatest(F.lit(1), F.col("place") + 1 - NEIGHBOURS), F.least(F.lit(NEIGHBOURS), F.col("place")))).alias("before"),
         F.concat_ws(" ", F.slice("words", F.col("place") + 2, F.lit(NEIGHBOURS))).alias("after"),
     )
-    assigned = F.regexp_extract("word", ASSIGNED, 1)
-    runs = F.filter(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), lambda r: r.rlike("[0-9]"))
-    values = F.when(F.size(runs) > 0, F.array_distinct(runs)).otherwise(F.array(assigned))
-    return found.withColumn("value", F.explode(values)).filter(F.length("value") > 0)
+    inside = F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1))
+    assigned = F.when(F.size(inside) > 0, inside).otherwise(F.array(F.regexp_extract("tail", SPANNING, 1)))
+    # A name is no value, whatever it looks like; its sign may open the next word.
+    unnamed = F.regexp_replace("word", f"{NAME}(?={GIVES})", " ")
+    unnamed = F.when(F.col("after").rlike(f"^{GIVES}"), F.regexp_replace(unnamed, f"{NAME}$", " ")).otherwise(unnamed)
+    runs = F.filter(F.regexp_extract_all(unnamed, F.lit(f"({RUN})"), F.lit(1)), lambda r: r.rlike("[0-9]"))
+    found = found.withColumn("value", F.explode(F.array_union(runs, assigned))).filter(F.length("value") > 0)
+    return found.select("key", "path", "place", "word", "value", "before", "after")
 
 
 def dictionary(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

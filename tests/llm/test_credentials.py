@@ -69,3 +69,17 @@ def test_odd_rows(spark):
     rows = C.scan(df, F.lit(True)).collect()
     assert sorted((str(r.doc_id), len(r.value)) for r in rows) == [("2", 8000), ("None", 40), ("None", 40)]
     assert {r.score for r in rows} == {None}  # one kind of label only: nothing to learn from
+
+
+def test_assigned_values_are_found_whole_and_after_blanks(spark):
+    texts = [
+        'password = "hunter2!" there', "my password: correct-horse-battery ok", "set passwd =hunter3! now", "db_password_2024x=Tr0ub4dor&3",
+        "db_password_2024y = Tr0ub4dor&4", "password=abcdefgh1234!xyz", 'x {"user":"me","password":"hunter5!"}', f"{KEY},password=hunter6!",
+        "key: password=hunter7!", "the key to it all, password reset and more",
+    ]
+    want = {
+        (0, 2, "hunter2!"), (1, 2, "correct-horse-battery"), (2, 2, "hunter3!"), (3, 0, "Tr0ub4dor&3"), (4, 2, "Tr0ub4dor&4"),
+        (5, 0, "abcdefgh1234!xyz"), (5, 0, "abcdefgh1234"), (6, 1, "hunter5!"), (7, 0, KEY), (7, 0, "hunter6!"), (8, 1, "hunter7!"),
+    }
+    rows = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    assert {(r.key, r.place, r.value) for r in C.candidates(rows).collect()} == want
