@@ -33,7 +33,7 @@ def byte_letters() -> list[str]:
 class Automaton:
     """``steps[node][letter]`` is the trie; ``link`` and ``popped`` are the failure link of a node and its count.
 
-    A letter outside the vocabulary, or a front no piece covers, counts as one piece for the whole word.
+    A letter outside the vocabulary, or a front no piece covers, counts as one piece for the whole word; so does an end mark left over by itself.
     """
 
     def __init__(self, pieces: Iterable[str]):

@@ -58,3 +58,8 @@ def test_odd_rows(spark):
     by = {r.doc_id: (r["_n_words"], r["_n_tokens"]) for r in found.collect()}
     assert by[1] == by[2] == by[8] == (0, 0) and by[7][0] == 18000 and by[9][0] == 1
     assert T.with_token_counts(empty(spark)).count() == 0
+
+
+def test_a_word_that_leaves_only_its_end_mark_counts_one(vocabulary):
+    letters = "".join(T.byte_letters()[b] for b in "ciónue".encode())
+    assert T.Counter(T.load())["ciónue"] == greedy(letters + T.END, vocabulary) == 1 and greedy(letters, vocabulary) == 3
