@@ -18,13 +18,14 @@ from riskloom.session import materialise
 
 # What makes a word a candidate, what a candidate is, and the words that speak for or against a secret.
 RUN = "[A-Za-z0-9+/_-]{12,}"
-NAME = "[A-Za-z0-9_.-]{0,200}(?i:password|passwd|pwd|secret|token|key)(?:[0-9_.-][A-Za-z0-9_.-]{0,200})?[\"']?"
+KEYED = "(?i:password|passwd|pwd|secret|token|key)(?:[0-9_.-][A-Za-z0-9_.-]{0,200})?[\"']?"
+NAME = f"[A-Za-z0-9_.-]{{0,200}}{KEYED}"
 GIVES = "[:=]=?>?"
 VALUE = "[\"']?([^\\s\"']{6,})"
 NUMBERED_RUN = "(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}"
-CANDIDATE = f"{NUMBERED_RUN}|{NAME}\\s*{GIVES}\\s*{VALUE}"
-ASSIGNED = f"{NAME}{GIVES}{VALUE}"
-SPANNING = f"{NAME}\\s*{GIVES}\\s*{VALUE}\\S*$"  # the value lies in the last word
+CANDIDATE = f"{NUMBERED_RUN}|{KEYED}\\s*{GIVES}\\s*{VALUE}"
+ASSIGNED = f"{KEYED}{GIVES}{VALUE}"
+SPANNING = f"{KEYED}\\s*{GIVES}\\s*{VALUE}\\S*$"  # the value lies in the last word
 SPEAKS_FOR = "(?i)passw|pwd|secret|token|key|auth|credential|bearer|access|private"
 SPEAKS_AGAINST = "(?i)example|sample|test|dummy|phone|tel|version|license|uuid|sha|md5|commit|checksum|card|order|invoice"
 ISSUED = "^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,})$"
