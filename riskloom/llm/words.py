@@ -26,8 +26,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    inside = IS_WORD[data]
+def _hashed(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inside = is_word[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
     begin, end = edges[::2], edges[1::2]
     if not len(begin):
@@ -39,26 +39,29 @@ def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64)), begin, end
 
 
-def _cuts(data: bytes) -> list[int]:
+def _cuts(data: bytes, is_word: np.ndarray) -> list[int]:
     """Where a long text is cut for hashing: after the last non-word byte of each chunk, counted from the text's start."""
     cuts, at = [0], 0
     while len(data) - at > _CHUNK:
         part = np.frombuffer(data, np.uint8, _CHUNK, at)
-        gaps = np.flatnonzero(~IS_WORD[part])
+        gaps = np.flatnonzero(~is_word[part])
         at += int(gaps[-1]) + 1 if len(gaps) else _CHUNK
         cuts.append(at)
     return cuts + [len(data)]
 
 
-def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and byte after the last of every word, and the place of each text's first word (one more at the end)."""
+def words(texts: Sequence[bytes], is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and byte after the last of every word, and the place of each text's first word (one more at the end).
+
+    ``is_word`` tells which of the 256 bytes belong to words.
+    """
     found, counts = [], []
     low = 0
     while low < len(texts):
         if len(texts[low]) > _CHUNK:
             text = texts[low].lower()
-            cuts = _cuts(text)
-            parts = [(a, _hashed(np.frombuffer(text, np.uint8, b - a, a))) for a, b in zip(cuts, cuts[1:]) if b > a]
+            cuts = _cuts(text, is_word)
+            parts = [(a, _hashed(np.frombuffer(text, np.uint8, b - a, a), is_word)) for a, b in zip(cuts, cuts[1:]) if b > a]
             found += [(h, begin + a, end + a) for a, (h, begin, end) in parts]
             counts.append(sum(len(p[0]) for _, p in parts))
             low += 1
@@ -69,7 +72,7 @@ def words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             high += 1
         data = np.frombuffer(b"\n".join(texts[low:high]).lower() + b"\n", np.uint8)
         starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[low:high]])))
-        h, begin, end = _hashed(data)
+        h, begin, end = _hashed(data, is_word)
         first = np.searchsorted(begin, starts)
         of = np.repeat(starts[:-1], np.diff(first))
         found.append((h, begin - of, end - of))
