@@ -1,15 +1,17 @@
 """Exact join of documents by the Jaccard similarity of their word n-grams: size-banded tiles of hashed bitmaps.
 
-Sets that can be alike meet in blocks, blocks are cut into tiles of bounded size by bands of set sizes, and a tile compares bitmaps:
-two sets that differ in d members have bitmaps that differ in at most d places, so counting bits bounds their overlap
-from above. What passes is decided by intersecting the sorted arrays. A tile returns links that connect its sets as all its links
-would, so its output is never more than its input, however many of its pairs are alike.
+A tile holds a bounded number of sets, banded by size, and compares bitmaps: two sets that differ in d members have bitmaps that differ in at most
+d places, so counting bits bounds their overlap from above. What passes is decided by intersecting the sorted arrays. A tile returns links that
+connect its sets as all its links would, so its output is never more than its input, however many of its pairs are alike.
 
-Blocks keep tiles away from sets that share nothing. Similarity fixes how many members two sets may differ in; dealt by
+Keys keep tiles away from sets that share nothing. Similarity fixes how many members two sets may differ in; dealt by
 hash into more parts than that, they agree in a part as a whole. So each set names its first non-empty parts, one more than it may
-differ in, and sets that name an equal part fall into one block. No pair is lost by that: before the first non-empty
+differ in, and sets alike name an equal part. No pair is lost by that: before the first non-empty
 part in which two sets agree lie only parts in which they differ. Sets whose members clump into too few parts name their smallest members as well, as many
 as the similarity leaves unmatched and one more.
+
+First the sets that name a key are sieved in tiles of bitmaps alone. Pairs within the bound connect sets to blocks, and the texts of
+blocks meet in tiles that intersect.
 """
 
 from __future__ import annotations
@@ -140,7 +142,7 @@ def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _described(k: int, least: tuple[int, int]):
-    """Adds to every row its set's size, digest and keys; a task names the keys of equal sets once."""
+    """Adds to every row its set's size, digest, keys and bitmap; a task names the last two of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -155,8 +157,10 @@ def _described(k: int, least: tuple[int, int]):
                         seen.add(d)
                         fresh.append(i)
                 keys = [np.empty(0, np.uint64)] * len(sets)
+                maps: list[bytes | None] = [None] * len(sets)
                 for i, found in zip(fresh, meeting_keys([sets[i] for i in fresh], least), strict=True):
                     keys[i] = found
+                    maps[i] = bitmap(sets[i]).tobytes() if len(found) else None
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
                 values = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -166,50 +170,59 @@ def _described(k: int, least: tuple[int, int]):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())),
+                        pa.array(maps, pa.binary()),
                     ],
-                    ["doc", "body", "n", "node", "keys"],
+                    ["doc", "body", "n", "node", "keys", "bits"],
                 )
 
     return run
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A hashed bitmap per set, as rows of 64-bit words; eight places for each member of a set of mean size."""
-    mean = sum(map(len, sets)) // len(sets)
-    places = 1 << max(8, int(8 * mean).bit_length())
-    out = np.zeros((len(sets), places // 64), np.uint64)
-    for row, s in zip(out, sets, strict=True):
-        at = mix(s ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(places)
-        np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+def bitmap(members: np.ndarray) -> np.ndarray:
+    """A set's hashed bitmap as 64-bit words: four to eight places a member, a power of two."""
+    places = 1 << max(6, (4 * len(members) - 1).bit_length())
+    at = mix(members ^ np.uint64(0xD1B54A32D192ED03)) & np.uint64(places - 1)
+    flags = np.zeros(places, np.uint8)
+    flags[at.astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
-def linked(sets: list[np.ndarray], sides: np.ndarray, least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
-    """Links between sets alike that connect them as all their links would: places of the sets, in ascending order of bits apart.
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap of the same set with fewer places."""
+    while len(words) > width:
+        words = words[: len(words) // 2] | words[len(words) // 2 :]
+    return words
+
 
-    Where two sides are given, only sets of different sides are compared.
+def within_bound(sizes: np.ndarray, maps: list[np.ndarray], sides: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """Pairs that bit counts leave open, as rows (bits apart, place, place). Sizes ascend.
+
+    Where two sides are given, only sets of different sides are compared. Bitmaps of unlike width are compared at the smaller one.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets, sides = [sets[i] for i in order], sides[order]
-    sizes = np.array([len(s) for s in sets])
-    maps = bitmaps(sets)
     mixed = sides.min() != sides.max()
     ends = np.searchsorted(sizes * least[0], sizes * least[1], "right")  # larger ones are not alike
-    near = []
-    for i in range(len(sets)):
-        if ends[i] > i + 1:
-            apart = np.bitwise_count(maps[i + 1 : ends[i]] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            most = (sizes[i] + sizes[i + 1 : ends[i]]) * (least[1] - least[0]) // (least[1] + least[0])
-            keep = apart <= most
-            if mixed:
-                keep &= sides[i + 1 : ends[i]] != sides[i]
-            j = np.flatnonzero(keep)
-            near.append(np.stack([apart[j], np.full(len(j), i), j + i + 1]))
-    if not near:
-        return []
-    found = np.concatenate(near, axis=1)
-    found = found[:, np.argsort(found[0], kind="stable")]
-    top = list(range(len(sets)))
+    widths = np.array([len(m) for m in maps])
+    near = [np.empty((3, 0), np.int64)]
+    for width in np.unique(widths):
+        here = np.flatnonzero(widths == width)
+        low, high = here[0], ends[here[-1]]
+        block = np.stack([_folded(m, width) for m in maps[low:high]])
+        for i in here:
+            if ends[i] > i + 1:
+                apart = np.bitwise_count(block[i + 1 - low : ends[i] - low] ^ block[i - low]).sum(axis=1, dtype=np.int64)
+                most = (sizes[i] + sizes[i + 1 : ends[i]]) * (least[1] - least[0]) // (least[1] + least[0])
+                keep = apart <= most
+                if mixed:
+                    keep &= sides[i + 1 : ends[i]] != sides[i]
+                j = np.flatnonzero(keep)
+                near.append(np.stack([apart[j], np.full(len(j), i), j + i + 1]))
+    return np.concatenate(near, axis=1)
+
+
+def connected(pairs: np.ndarray, size: int, holds=None) -> list[tuple[int, int]]:
+    """Those pairs, nearest first, that connect what is not connected yet and for which ``holds`` is true."""
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    top = list(range(size))
 
     def root(x: int) -> int:
         while top[x] != x:
@@ -217,58 +230,83 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, least: tuple[int, int] = L
             x = top[x]
         return x
 
-    links, parts = [], len(sets)
-    for i, j in zip(found[1].tolist(), found[2].tolist()):
+    links: list[tuple[int, int]] = []
+    for i, j in zip(pairs[1].tolist(), pairs[2].tolist()):
         a, b = root(i), root(j)
-        if a == b:
-            continue
-        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if least[1] * common >= least[0] * (len(sets[i]) + len(sets[j]) - common):
+        if a != b and (holds is None or holds(i, j)):
             top[a] = b
-            links.append((int(order[i]), int(order[j])))
-            parts -= 1
-            if parts == 1:
+            links.append((i, j))
+            if len(links) == size - 1:
                 break
     return links
 
 
-def _tiles_linked(k: int, least: tuple[int, int]):
-    """Links of every tile in rows (tile, side, node, text) that come sorted by tile and node."""
+def linked(sets: list[np.ndarray], sides: np.ndarray, least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
+    """Links between sets alike that connect them as all their links would: places of the sets."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, sides = [sets[i] for i in order], sides[order]
+
+    def alike(i: int, j: int) -> bool:
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return least[1] * common >= least[0] * (len(sets[i]) + len(sets[j]) - common)
+
+    near = within_bound(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], sides, least)
+    return [(int(order[i]), int(order[j])) for i, j in connected(near, len(sets), alike)]
+
 
-    def finish(nodes, sides, texts):
+def _by_tile(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """What ``work(nodes, sides, values)`` finds in each tile of rows (tile, side, node, value) that come sorted by tile and node."""
+
+    def finish() -> pa.RecordBatch:
+        found = work(nodes, np.array(sides), values)
+        ends = [[min(nodes[i], nodes[j]) for i, j in found], [max(nodes[i], nodes[j]) for i, j in found]]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+
+    now, nodes, sides, values = None, [], [], []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[:3]] + [batch.column(3).cast(pa.large_binary()).to_pylist()]
+        for tile, side, node, value in zip(*columns, strict=True):
+            if tile != now:
+                if len(nodes) > 1:
+                    yield finish()
+                now, nodes, sides, values = tile, [], [], []
+            if not nodes or (nodes[-1], sides[-1]) != (node, side):  # rows alike in key and text
+                nodes.append(node)
+                sides.append(side)
+                values.append(value)
+    if len(nodes) > 1:
+        yield finish()
+
+
+def _intersected(k: int, least: tuple[int, int]):
+    def work(nodes, sides, texts):
         sets: list[np.ndarray] = []
         for low, high in _portions(texts):
             sets += sets_of(texts[low:high], k)
-        found = linked(sets, np.array(sides), least)
-        ends = [[min(nodes[i], nodes[j]) for i, j in found], [max(nodes[i], nodes[j]) for i, j in found]]
-        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+        return linked(sets, sides, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sides, texts = None, [], [], []
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:3]] + [batch.column(3).cast(pa.large_binary()).to_pylist()]
-            for tile, side, node, text in zip(*columns, strict=True):
-                if tile != now:
-                    if len(nodes) > 1:
-                        yield finish(nodes, sides, texts)
-                    now, nodes, sides, texts = tile, [], [], []
-                if not nodes or (nodes[-1], sides[-1]) != (node, side):  # rows alike in key and text
-                    nodes.append(node)
-                    sides.append(side)
-                    texts.append(text)
-        if len(nodes) > 1:
-            yield finish(nodes, sides, texts)
+    return lambda batches: _by_tile(batches, work)
 
-    return run
+
+def _sieved(least: tuple[int, int]):
+    """Values are a set's size as 8 bytes, then its bitmap."""
+
+    def work(nodes, sides, values):
+        sizes = np.array([int.from_bytes(v[:8], "big") for v in values])
+        order = np.argsort(sizes, kind="stable")
+        near = within_bound(sizes[order], [np.frombuffer(values[i], np.uint64, offset=8) for i in order], sides[order], least)
+        return [(order[i], order[j]) for i, j in connected(near, len(nodes))]
+
+    return lambda batches: _by_tile(batches, work)
 
 
 def _tiled(members: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Rows (node, tile, side) of (node, n, label): a block that is small enough is one tile, others are cut by band and salt.
+    """Rows (node, tile, side) of (node, n, label): what has one label is one tile if it is small enough, others are cut by band and salt.
 
     Two sets alike lie in the same band or neighbouring ones. Every two salts of one or of two neighbouring bands make a tile.
     """
     ratio = 1.001 * least[1] / least[0]
-    members = members.withColumn("band", F.floor(F.log("n") / F.log(F.lit(ratio))).cast("int"))
+    members = members.select("node", "n", "label").withColumn("band", F.floor(F.log("n") / F.log(F.lit(ratio))).cast("int"))
     figures = members.groupBy("label", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("members"))
     cut = F.greatest(F.ceil(2 * F.col("sets") / TILE_SETS), F.ceil(2 * F.col("members") / TILE_MEMBERS)).cast("int")
     figures = materialise(figures.withColumn("salts", cut), "bands")
@@ -301,6 +339,10 @@ def _tiled(members: DataFrame, least: tuple[int, int]) -> DataFrame:
     return small.unionByName(placed)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("tile").sortWithinPartitions("tile", "node", "side")
+
+
 def linked_documents(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """One row per document: key, n_shingles (distinct word n-grams) and component_id, the smallest key that links lead to.
 
@@ -313,24 +355,34 @@ def linked_documents(df: DataFrame, text: str = "text", key: str = "doc_id", k:
     small_batches(spark, _ROWS)
     body = F.coalesce(named(text), F.lit(""))
     rows = df.select(named(key).cast("bigint").alias("doc"), F.xxhash64(body).alias("body"), body.alias("text"))
-    docs = materialise(rows.mapInArrow(_described(k, least), "doc bigint, body bigint, n bigint, node bigint, keys array<bigint>"), "sets")
+    described = rows.mapInArrow(_described(k, least), "doc bigint, body bigint, n bigint, node bigint, keys array<bigint>, bits binary")
+    docs = materialise(described, "sets")
 
     met = docs.filter(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
-    met = met.withColumn("hub", F.min("node").over(Window.partitionBy("key"))).filter(F.col("node") != F.col("hub"))
-    met = materialise(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "met")
-    blocks = components(met)
+    group = Window.partitionBy("key")
+    met = met.select("node", "key", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high")).filter("low <> high")
+    met = materialise(met.select("node", "key").distinct(), "met")
+    # Many keys are named by the same sets: one key of those does.
+    named_by = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)])
+    one = named_by.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key")
+    seen = materialise(met.select("node").distinct(), "seen")
+    maps = docs.filter(F.col("bits").isNotNull()).join(seen, "node").groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    maps = materialise(maps, "maps")
+    grouped = met.join(one, "key").join(maps.select("node", "n"), "node").select("node", "n", F.col("key").alias("label"))
+    sieve = _tiled(materialise(grouped, "groups"), least).join(maps, "node")
+    value = F.concat(F.unhex(F.lpad(F.hex("n"), 16, "0")), "bits")
+    blocks = components(materialise(_dealt(sieve.select("tile", "side", "node", value.alias("value"))).mapInArrow(_sieved(least), "a bigint, b bigint"), "near"))
 
     nodes = docs.filter("n > 0").groupBy("node").agg(
         F.min("n").alias("n"), F.min("doc").alias("least_doc"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "body")).alias("at")
     )
     nodes = materialise(nodes, "nodes")
     members = materialise(nodes.join(blocks, "node").select("node", "n", "label", "at.doc", "at.body"), "members")
-    tiles = materialise(_tiled(members.select("node", "n", "label"), least).join(members.select("node", "doc", "body"), "node"), "tiles")
+    tiles = materialise(_tiled(members, least).join(members.select("node", "doc", "body"), "node"), "tiles")
     texts = perhaps_named(rows, F.col("body"), members, "body").alias("r")
     same = (F.col("r.body") == F.col("t.body")) & F.col("r.doc").eqNullSafe(F.col("t.doc"))
-    placed = texts.join(tiles.alias("t"), same).select("tile", "side", "node", "text")
-    placed = placed.repartition("tile").sortWithinPartitions("tile", "node", "side")
-    links = materialise(placed.mapInArrow(_tiles_linked(k, least), "a bigint, b bigint"), "links")
+    placed = _dealt(texts.join(tiles.alias("t"), same).select("tile", "side", "node", "text"))
+    links = materialise(placed.mapInArrow(_intersected(k, least), "a bigint, b bigint"), "links")
 
     joined = nodes.join(components(links), "node", "left").select("node", "rows", "least_doc", F.coalesce("label", "node").alias("label"))
     joined = materialise(joined, "joined")

@@ -111,11 +111,29 @@ def test_sets_alike_always_meet():
 def test_bitmaps_bound_overlap_from_above():
     rng = random.Random(1)
     base = prose(5, 400)
-    sets = J.sets_of([edited(base, e, rng).encode() for e in (0, 5, 20, 60, 200, 400)])
-    maps = J.bitmaps(sets)
+    sets = J.sets_of([edited(base, e, rng).encode() for e in (0, 5, 20, 60, 200, 400)] + [prose(6, 90).encode()])
+    maps = [J.bitmap(s) for s in sets]
+    assert len(maps[-1]) < len(maps[0])
     for a, m in zip(sets, maps):
         for b, n in zip(sets, maps):
-            assert np.bitwise_count(m ^ n).sum() <= len(np.setxor1d(a, b))
+            width = min(len(m), len(n))
+            assert np.bitwise_count(J._folded(m, width) ^ J._folded(n, width)).sum() <= len(np.setxor1d(a, b))
+
+
+def test_no_pair_alike_falls_to_bit_counts():
+    rng = random.Random(9)
+    base = prose(5, 300).split()
+    texts = [" ".join(base[: rng.randint(200, 300)]) for _ in range(40)] + [edited(" ".join(base[:255]), 2, rng) for _ in range(20)]
+    sets = sorted(J.sets_of([t.encode() for t in texts]), key=len)
+    maps = [J.bitmap(s) for s in sets]
+    assert len({len(m) for m in maps}) == 2
+    _, i, j = J.within_bound(np.array([len(s) for s in sets]), maps, np.zeros(len(sets), int))
+    open_ = set(zip(i.tolist(), j.tolist()))
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                assert (a, b) in open_
 
 
 def test_links_connect_as_all_links_would():
