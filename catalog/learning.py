@@ -1,8 +1,8 @@
 """Model queries: fitted and scored on the given tables.
 
-Scores are those of Spark's own learners, so the ``clf_`` queries have no SQL. Beside most stands a ``check_`` query of the same learner
-on a label planted in the given orders: row count, unusable scores, whether scores vary and whether they find the label. Boosting to its
-patience takes minutes there; its tests do that on a smaller table.
+Scores are those of the learners, so the ``clf_`` queries have no SQL. Beside each stands a ``check_`` query of the same learner
+on a label planted in the given orders: row count, unusable scores, whether scores vary and whether they find the label. Boosting runs
+to its patience on a label of which a tenth is wrong, so that there is a best prefix.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from riskloom.operators import metrics, models, neighbours, split, vectors
 from riskloom.operators.running import with_row_ids
 from riskloom.plans import applicants as A
 from riskloom.plans import loans as L
-from riskloom.session import materialise
+from riskloom.session import materialise, new_path
 
 NEAR = ["AMT_CREDIT", "DAYS_BIRTH", "REGION_POPULATION_RELATIVE"]
 _SCALED = {
@@ -28,6 +28,7 @@ _SCALED = {
 # Three numbers per order, a label that follows two of them, and the orders held out.
 _PLANTED = {"a": "((o_orderkey * 7919) % 1000) / 1000e0", "b": "((o_custkey * 104729 + o_orderkey * 31) % 997) / 997e0", "c": "((o_orderkey * 611953) % 991) / 991e0"}
 _SIGNAL = "a + b > 1"
+_WRONG = "(row_id * 48271) % 1009 < 101"
 _HELD = "(row_id * 31 + 7) % 5 = 0"
 
 
@@ -121,6 +122,24 @@ def queries():
 
         return run
 
+    def check_boosting(name):
+        def run(spark, sf):
+            train, held = (part.withColumn("y", F.expr(f"CASE WHEN (y = 1) <> ({_WRONG}) THEN 1 ELSE 0 END")) for part in planted(spark, sf))
+            model = models.fit(name, train, list(_PLANTED), "y", valid=held)
+            return checked(materialise(models.score(model, held), "scores"))
+
+        return run
+
+    def check_rf_combined(spark, sf):
+        """The label's two columns come as external vectors, so a forest without them finds nothing."""
+        train, held = planted(spark, sf)
+        rows = train.unionByName(held)
+        external = rows.select("row_id", F.array("a", "b").alias("x"))
+        rows = materialise(vectors.combine(rows.select("row_id", "c", "y"), external, "x", 2), "model-input")
+        columns = ["c", "feature_nn0", "feature_nn1"]
+        model = models.fit("rf", rows.filter(f"NOT ({_HELD})"), columns, "y")
+        return checked(materialise(models.score(model, rows.filter(_HELD)), "scores"))
+
     def check_wide_deep(spark, sf):
         flags = {"f_a": (F.col("a") > 0.5).cast("int"), "f_b": (F.col("b") > 0.5).cast("int")}
         train, held = (part.withColumns(flags) for part in planted(spark, sf))
@@ -135,12 +154,29 @@ def queries():
         model = models.fit("mlp", rows.filter(f"NOT ({_HELD})"), inputs.columns, "y")
         return checked(materialise(models.score(model, rows.filter(_HELD)), "scores"))
 
-    def exact_score(spark, sf):
+    def one_split(spark, sf):
         """A label that one split tells apart, so a tree's scores are the label itself."""
         rows = table(spark, sf, "orders").selectExpr("o_orderkey AS row_id", "o_orderkey % 20 AS a", "CASE WHEN o_orderkey % 20 >= 10 THEN 1 ELSE 0 END AS y")
         rows = materialise(rows, "planted")
-        model = models.fit("dt", rows.filter(f"NOT ({_HELD})"), ["a"], "y")
-        return models.score(model, rows.filter(_HELD)).select("row_id", "y", "p")
+        return rows.filter(f"NOT ({_HELD})"), rows.filter(_HELD)
+
+    def exact_score(spark, sf):
+        train, held = one_split(spark, sf)
+        return models.score(models.fit("dt", train, ["a"], "y"), held).select("row_id", "y", "p")
+
+    def saved_score(spark, sf):
+        train, held = one_split(spark, sf)
+        path = new_path(spark, "model")
+        models.save(models.fit("dt", train, ["a"], "y"), path)
+        return models.score(models.load(path), held).select("row_id", "y", "p")
+
+    def chosen_setting(spark, sf):
+        """A label of two cuts: one level can't tell it, two can, and more add nothing."""
+        rows = table(spark, sf, "orders").selectExpr("o_orderkey AS row_id", "o_orderkey % 20 AS a")
+        rows = materialise(rows.withColumn("y", F.col("a").between(5, 11).cast("int")), "planted")
+        settings = [{"depth": d} for d in (1, 2, 3, 4)]
+        _, options, area = models.best_of("dt", settings, rows.filter(f"NOT ({_HELD})"), rows.filter(_HELD), ["a"], "y", patience=1)
+        return spark.createDataFrame([(options["depth"], area)], "depth int, auc double")
 
     def near(spark, sf):
         rows = _near_rows(spark, sf).filter("TARGET = 1")
@@ -166,6 +202,11 @@ def queries():
         "pca_reconstruct": pca,
         "pca_whole": pca_whole,
         "score_exact": exact_score,
+        "score_saved": saved_score,
+        "chosen_setting": chosen_setting,
+        "check_gbt": check_boosting("gbt"),
+        "check_gbt_leaves": check_boosting("gbt_slow"),
+        "check_rf_combined": check_rf_combined,
         **{f"check_{name}": check(name) for name in ("dt", "rf", "mlp")},
         "check_lr": check("lr", inverse_penalty=1.0),
         "check_wide_deep": check_wide_deep,
@@ -200,14 +241,19 @@ def oracle():
     )
     planted = f"SELECT o_orderkey AS row_id FROM orders WHERE {_HELD.replace('row_id', 'o_orderkey')}"
     found = f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS unusable, true AS varies, true AS finds_label FROM ({planted})"
-    names = ("lr", "dt", "rf", "mlp", "wide_deep", "graph")
+    names = ("lr", "dt", "rf", "mlp", "wide_deep", "graph", "gbt", "gbt_leaves", "rf_combined")
+    exact = (
+        "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 20 >= 10 THEN 1 ELSE 0 END AS y, CASE WHEN o_orderkey % 20 >= 10 "
+        f"THEN 1e0 ELSE 0e0 END AS p FROM orders WHERE {_HELD.replace('row_id', 'o_orderkey')}"
+    )
     return {
         "nearest_minority": f"WITH {minority}, d AS ({ranked}) SELECT SK_ID_CURR, CAST(k - 1 AS INTEGER) AS rank, neighbour, "
         "round(distance, 9) + 0e0 AS distance FROM d WHERE k <= 5",
         "smote": f"WITH {minority}, d AS MATERIALIZED (SELECT * FROM ({ranked}) WHERE k <= {near}), plan AS ({plan}) SELECT SK_ID_CURR, TARGET, "
         f"{', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in NEAR)} FROM ({rows}) UNION ALL {made}",
         "pca_whole": "SELECT CASE WHEN count(*) > 0 THEN 0e0 END AS mse FROM embeddings",
-        "score_exact": "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 20 >= 10 THEN 1 ELSE 0 END AS y, CASE WHEN o_orderkey % 20 >= 10 "
-        f"THEN 1e0 ELSE 0e0 END AS p FROM orders WHERE {_HELD.replace('row_id', 'o_orderkey')}",
+        "score_exact": exact,
+        "score_saved": exact,
+        "chosen_setting": "SELECT CAST(2 AS INTEGER) AS depth, 1e0 AS auc",
         **{f"check_{name}": found for name in names},
     }

@@ -75,11 +75,23 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more, such as the former state of a loop."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _delete(table.sparkSession, folder)
+
+
 def clear_tables(spark: SparkSession) -> None:
     """Delete the tables this session materialised, once none of its results is needed."""
     _delete(spark, f"{shared_folder(spark)}/tables")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

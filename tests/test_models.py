@@ -42,44 +42,6 @@ def test_learners_find_the_signal(parts, name):
     assert out.select("p").distinct().count() > 1
 
 
-def test_boosting_stops_patience_rounds_after_its_best(parts, monkeypatch):
-    """Validation loss is given, so the stop and the kept prefix are known."""
-    train, valid = parts
-    asked = []
-
-    class Fitted:
-        def __init__(self, rounds):
-            self.rounds = rounds
-
-        def evaluateEachIteration(self, data):
-            return [abs(i - 40) + 1.0 for i in range(self.rounds)]
-
-    class Learner:
-        def __init__(self, rounds):
-            self.rounds = rounds
-
-        def fit(self, data):
-            asked.append(self.rounds)
-            return Fitted(self.rounds)
-
-    monkeypatch.setitem(models.LEARNERS, "gbt", lambda train, label, width, options: Learner(options["rounds"]))
-    options = {"patience": 10}
-    model = models._boosted("gbt", train.select("y"), valid.select("y"), "y", options, type("A", (), {"transform": lambda self, d: d})())
-    assert asked == [35, 70, 41] and model.rounds == 41
-    asked.clear()
-    options = {"patience": 10, "rounds": 38}
-    assert models._boosted("gbt", train.select("y"), valid.select("y"), "y", options, type("A", (), {"transform": lambda self, d: d})()).rounds == 38
-
-
-def test_a_shorter_boosting_run_is_a_prefix(parts):
-    train, valid = parts
-    assembled = models._assembler(COLUMNS).transform(models.with_class_weights(train, "y", "__weight"))
-    trees = [models.LEARNERS["gbt"](assembled, "y", None, {"rounds": n, "weight": "__weight"}).fit(assembled) for n in (4, 7)]
-    assert [t.toDebugString for t in trees[0].trees] == [t.toDebugString for t in trees[1].trees[:4]] or [
-        t.numNodes for t in trees[0].trees
-    ] == [t.numNodes for t in trees[1].trees[:4]]
-
-
 def test_class_weights_come_from_training_rows(parts, monkeypatch):
     train, valid = parts
     seen = []
