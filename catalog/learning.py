@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from catalog.frames import frame, frame_sql, lending_tables, table
 from catalog.tables import DIM, FILL_FIRST, rounded
-from riskloom.operators import metrics, models, neighbours, split, vectors
+from riskloom.operators import graph, metrics, models, neighbours, split, vectors
 from riskloom.operators.running import with_row_ids
 from riskloom.plans import applicants as A
 from riskloom.plans import loans as L
@@ -32,6 +32,11 @@ _WRONG = "(row_id * 48271) % 1009 < 101"
 _HELD = "(row_id * 31 + 7) % 5 = 0"
 
 
+# A value per order, its group, and a label that follows the mix of a value and its group's mean.
+_GATED = {"g": "o_custkey % 211", "x": "CAST((o_orderkey * 7919) % 1000 + 3 * ((o_custkey % 211 * 7919) % 997) AS DOUBLE)"}
+_GATE_SIGNAL = "(0.3e0 * x + 0.7e0 * {near} > 1900e0) <> (row_id % 97 = 5)"
+
+
 def _near_rows(spark, sf) -> DataFrame:
     cols = [f"{e} AS {c}" for c, e in _SCALED.items()]
     return frame(spark, sf, "application").selectExpr("SK_ID_CURR", "TARGET", *cols)
@@ -67,13 +72,17 @@ def queries():
         return model.score(test).select("id", L.LABEL, "p")
 
     def graph_model(spark, sf):
-        from riskloom.operators.graph import attributes_by_count
-
         table, wide = L.wide_loans(loans(spark, sf), ["id"], ["id"], named=True)
         rows = materialise(table.rows, "model-input")
-        attributes = attributes_by_count(rows.select(*table.codes), 10)
-        inputs = models.graph_inputs(rows, [*table.values, *wide], attributes, share=0.5)
-        train, test = L.split_loans(materialise(inputs.rows, "graph-input"))
+        attributes = graph.attributes_by_count(rows.select(*table.codes), 10)
+        train, test = L.split_loans(rows)
+        # The share is learned inside the training rows: four fifths fit the scorer, the others judge it.
+        fifth = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+        marked = train.select("*", F.when(fifth, 2).otherwise(1).alias("__part")).unionByName(test.withColumn("__part", F.lit(0)))
+        columns = [*table.values, *wide]
+        inputs = models.learned_graph_inputs(marked, columns, attributes, L.LABEL, F.col("__part") == 1, F.col("__part") == 2)
+        rows = materialise(inputs.rows, "graph-input")
+        train, test = rows.filter("__part > 0"), rows.filter("__part = 0")
         model = models.fit("mlp", train, inputs.columns, L.LABEL)
         return models.score(model, test).select("id", L.LABEL, "p")
 
@@ -160,6 +169,18 @@ def queries():
         rows = materialise(rows, "planted")
         return rows.filter(f"NOT ({_HELD})"), rows.filter(_HELD)
 
+    def gate_rows(spark, sf):
+        rows = table(spark, sf, "orders").selectExpr("o_orderkey AS row_id", *[f"{e} AS {c}" for c, e in _GATED.items()])
+        rows = graph.propagate(rows, ["x"], by=["g"])
+        return materialise(rows.withColumn("y", F.expr(f"CASE WHEN {_GATE_SIGNAL.format(near='prop_x')} THEN 1 ELSE 0 END")), "gated")
+
+    def graph_gate(spark, sf):
+        """The area of every share, and which one is chosen: the label follows the mix at 0.3 with every 97th row wrong."""
+        rows = gate_rows(spark, sf)
+        areas = graph.share_areas(rows, "y", "x", "prop_x")
+        share, _ = graph.learned_share(rows, "y", "x", "prop_x")
+        return rounded(areas.withColumn("chosen", F.col("share") == share), ["auc"], 9)
+
     def exact_score(spark, sf):
         train, held = one_split(spark, sf)
         return models.score(models.fit("dt", train, ["a"], "y"), held).select("row_id", "y", "p")
@@ -201,6 +222,7 @@ def queries():
         "score": scored,
         "pca_reconstruct": pca,
         "pca_whole": pca_whole,
+        "graph_gate": graph_gate,
         "score_exact": exact_score,
         "score_saved": saved_score,
         "chosen_setting": chosen_setting,
@@ -241,6 +263,23 @@ def oracle():
     )
     planted = f"SELECT o_orderkey AS row_id FROM orders WHERE {_HELD.replace('row_id', 'o_orderkey')}"
     found = f"SELECT count(*) AS n, CAST(0 AS BIGINT) AS unusable, true AS varies, true AS finds_label FROM ({planted})"
+    mixed = (
+        f"SELECT *, CASE WHEN {_GATE_SIGNAL.format(near='near')} THEN 1 ELSE 0 END AS y FROM (SELECT row_id, x, avg(x) OVER (PARTITION BY g) AS near "
+        f"FROM (SELECT o_orderkey AS row_id, {', '.join(f'{e} AS {c}' for c, e in _GATED.items())} FROM orders))"
+    )
+    tried = " UNION ALL ".join(f"SELECT {s!r}e0 AS share, y, {s!r}e0 * x + {1 - s!r}e0 * near AS p FROM mixed" for s in graph.SHARES)
+    ranked_shares = (
+        f"SELECT share, y, rank() OVER (PARTITION BY share ORDER BY p) + (count(*) OVER (PARTITION BY share, p) - 1) / 2e0 AS r FROM ({tried})"
+    )
+    # Rank sums with mid-ranks.
+    areas = (
+        "SELECT share, (sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2e0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS auc "
+        f"FROM ({ranked_shares}) GROUP BY share"
+    )
+    gate = (
+        f"WITH mixed AS MATERIALIZED ({mixed}), areas AS MATERIALIZED ({areas}) SELECT share, round(auc, 9) + 0e0 AS auc, "
+        "share = (SELECT max(share) FROM areas WHERE auc = (SELECT max(auc) FROM areas)) AS chosen FROM areas"
+    )
     names = ("lr", "dt", "rf", "mlp", "wide_deep", "graph", "gbt", "gbt_leaves", "rf_combined")
     exact = (
         "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 20 >= 10 THEN 1 ELSE 0 END AS y, CASE WHEN o_orderkey % 20 >= 10 "
@@ -252,6 +291,7 @@ def oracle():
         "smote": f"WITH {minority}, d AS MATERIALIZED (SELECT * FROM ({ranked}) WHERE k <= {near}), plan AS ({plan}) SELECT SK_ID_CURR, TARGET, "
         f"{', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in NEAR)} FROM ({rows}) UNION ALL {made}",
         "pca_whole": "SELECT CASE WHEN count(*) > 0 THEN 0e0 END AS mse FROM embeddings",
+        "graph_gate": gate,
         "score_exact": exact,
         "score_saved": exact,
         "chosen_setting": "SELECT CAST(2 AS INTEGER) AS depth, 1e0 AS auc",

@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators import metrics
 from riskloom.operators.joins import lookup_join
 from riskloom.operators.profile import distinct_up_to, zero_shares
 from riskloom.operators.running import with_row_ids
@@ -117,3 +118,41 @@ def gate(x: Column, propagated: Column, share: float) -> Column:
 
 def gate_vector(x: Column, propagated: Column, share: float) -> Column:
     return F.zip_with(x, propagated, lambda a, b: gate(a.cast("double"), b, share))
+
+
+SHARES = tuple(i / 20 for i in range(21))
+
+
+def share_areas(df: DataFrame, label: str, own: str, propagated: str, shares: Sequence[float] = SHARES) -> DataFrame:
+    """(share, auc): exact area of ``gate(own, propagated, share)`` for every share, all of them in one pass over the rows.
+
+    NULL where a class is absent; rows without one of the two scores take no part.
+    """
+    each = F.array(*[F.struct(F.lit(float(s)).alias("share"), gate(F.col(own), F.col(propagated), s).alias("p")) for s in shares])
+    rows = df.select(F.col(label).alias("label"), F.explode(each).alias("e")).select("label", "e.share", "e.p")
+    return metrics.auc_by(rows, ["share"], "label", "p")
+
+
+def learned_share(
+    df: DataFrame, label: str, own: str, propagated: str, shares: Sequence[float] = SHARES, rounds: int = 1
+) -> tuple[float, float | None]:
+    """The share of largest area and that area; of equal ones the largest share, which leans on the row itself.
+
+    Further rounds ask for as many shares between the neighbours of the best one. Where no area is defined the share is 1.
+    """
+    best, asked = (1.0, None), sorted(set(float(s) for s in shares))
+    for _ in range(rounds):
+        found = share_areas(df, label, own, propagated, asked).collect()  # a row a share
+        known = [(r["auc"], r["share"]) for r in found if r["auc"] is not None]
+        if not known:
+            break
+        area, share = max(known)
+        if best[1] is None or (area, share) > (best[1], best[0]):
+            best = (share, area)
+        at = asked.index(share)
+        low, high = asked[max(0, at - 1)], asked[min(len(asked) - 1, at + 1)]
+        steps = len(asked) - 1
+        if steps < 1 or low == high:
+            break
+        asked = sorted({low + (high - low) * i / steps for i in range(steps + 1)})
+    return best

@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators import boosting, graph, metrics
@@ -279,10 +279,25 @@ def fit_wide_deep(
 
 @dataclass(frozen=True)
 class GraphInputs:
-    """Rows with their own and their graph-mixed columns."""
+    """Rows with their own and their graph-mixed columns, and the share of a row's own value in the mix."""
 
     rows: DataFrame
     columns: list[str] = field(default_factory=list)
+    share: float = 0.5
+
+
+def _propagated(df: DataFrame, columns: Sequence[str], attributes: Sequence[str], batch: str | None) -> DataFrame:
+    """Rows with each column's mean over their cluster, ``prop_`` before its name. Attributes are read as they are; they may be among the columns."""
+    keys = [f"__a{i}" for i in range(len(attributes))]
+    rows = df.withColumns({k: F.col(a) for k, a in zip(keys, attributes, strict=True)})
+    rows = graph.assign_clusters(rows, keys)
+    by = ["cluster_id"] if batch is None else [batch, "cluster_id"]
+    return graph.propagate(rows, columns, by=by).drop(*keys)
+
+
+def _gated(rows: DataFrame, columns: Sequence[str], share: float) -> GraphInputs:
+    rows = rows.withColumns({f"mix_{c}": graph.gate(F.col(c).cast("double"), F.col(f"prop_{c}"), share) for c in columns})
+    return GraphInputs(rows.drop(*[f"prop_{c}" for c in columns]), [*columns, *[f"mix_{c}" for c in columns]], share)
 
 
 def graph_inputs(
@@ -295,16 +310,38 @@ def graph_inputs(
     """Each column next to its mix with the mean over the row's cluster.
 
     Propagation over the graph of shared attributes is a group mean, taken once outside the learner.
-    Attributes are read as they are; they may be among the columns.
     """
-    keys = [f"__a{i}" for i in range(len(attributes))]
-    rows = df.withColumns({k: F.col(a) for k, a in zip(keys, attributes, strict=True)})
-    rows = graph.assign_clusters(rows, keys)
-    by = ["cluster_id"] if batch is None else [batch, "cluster_id"]
-    rows = graph.propagate(rows, columns, by=by)
-    rows = rows.withColumns({f"mix_{c}": graph.gate(F.col(c).cast("double"), F.col(f"prop_{c}"), share) for c in columns})
-    rows = rows.drop(*keys, *[f"prop_{c}" for c in columns])
-    return GraphInputs(rows, [*columns, *[f"mix_{c}" for c in columns]])
+    return _gated(_propagated(df, columns, attributes, batch), columns, share)
+
+
+def learned_graph_inputs(
+    df: DataFrame,
+    columns: Sequence[str],
+    attributes: Sequence[str],
+    label: str,
+    fit_on: Column,
+    judge_on: Column,
+    batch: str | None = None,
+    shares: Sequence[float] = graph.SHARES,
+    rounds: int = 2,
+    **options,
+) -> GraphInputs:
+    """``graph_inputs`` with the share of largest area on the rows ``judge_on``, by a logistic scorer fitted on the rows ``fit_on``.
+
+    The scorer is linear, so its margin of mixed columns is the mix of its margins of a row's own and its propagated columns. Both margins are taken
+    once, and every share follows from them without fitting or propagating again. Keep test rows out of both conditions.
+    """
+    rows = materialise(_propagated(df, columns, attributes, batch), "propagated")
+    model = fit("lr", rows.filter(fit_on), columns, label, **options).stages[-1]
+    weights = [float(w) for w in model.coefficients]
+
+    def margin(prefix: str) -> Column:
+        values = F.array(*[F.col(prefix + c).cast("double") for c in columns])
+        return F.aggregate(F.zip_with(values, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(float(model.intercept)), lambda s, v: s + v)
+
+    margins = rows.filter(judge_on).select(F.col(label).alias("label"), margin("").alias("own"), margin("prop_").alias("near"))
+    share, _ = graph.learned_share(materialise(margins, "margins"), "label", "own", "near", shares, rounds)
+    return _gated(rows, columns, share)
 
 
 # -- reconstruction -------------------------------------------------------------------

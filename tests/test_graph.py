@@ -67,3 +67,35 @@ def test_attribute_rules(spark):
     assert graph.attributes_by_count(df, 10, ["label"]) == ["a", "half_zero"]
     assert graph.attributes_by_count(df, 10) == ["a", "half_zero", "label"]
     assert graph.attributes_by_zero_share(df, 0.3, 20, ["label"]) == ["a"]
+
+
+def gated(spark, share):
+    """A label that follows the mix at this share, up to some wrong rows."""
+    rows = spark.range(1500).select(
+        F.col("id"), (F.col("id") % 23).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1000)) + 40 * (F.col("id") % 23)).cast("double").alias("x")
+    )
+    rows = graph.propagate(rows, ["x"], by=["g"])
+    mixed = graph.gate(F.col("x"), F.col("prop_x"), share)
+    return rows.withColumn("y", ((mixed > 940) != (F.col("id") % 50 == 7)).cast("int")).cache()
+
+
+def test_learned_share_is_the_planted_one(spark):
+    from riskloom.operators import metrics
+
+    for share in (0.3, 0.8):
+        rows = gated(spark, share)
+        assert graph.learned_share(rows, "y", "x", "prop_x")[0] == share
+        areas = {r["share"]: r["auc"] for r in graph.share_areas(rows, "y", "x", "prop_x", (0.0, 0.25, 1.0)).collect()}
+        for s, area in areas.items():
+            alone = rows.withColumn("p", graph.gate(F.col("x"), F.col("prop_x"), s))
+            assert metrics.auc(alone, "y").first()["auc"] == area
+    fine, area = graph.learned_share(gated(spark, 0.33), "y", "x", "prop_x", rounds=3)
+    assert abs(fine - 0.33) < 0.02 and area >= graph.learned_share(gated(spark, 0.33), "y", "x", "prop_x")[1]
+
+
+def test_share_without_rows_or_with_one_class(spark):
+    rows = gated(spark, 0.3)
+    assert graph.learned_share(rows.filter("id < 0"), "y", "x", "prop_x") == (1.0, None)
+    assert graph.learned_share(rows.filter("y = 1"), "y", "x", "prop_x") == (1.0, None)
+    flat = rows.withColumn("x", F.lit(1.0)).withColumn("prop_x", F.lit(1.0))
+    assert graph.learned_share(flat, "y", "x", "prop_x") == (1.0, 0.5)

@@ -97,6 +97,20 @@ def test_graph_inputs_help_when_neighbours_share_the_signal(spark):
     assert metrics.auc(smoothed, "y").first()["auc"] > metrics.auc(plain, "y").first()["auc"]
 
 
+def test_learned_graph_inputs_lean_on_neighbours_that_tell_more(spark):
+    rows = spark.range(2000).select(
+        F.col("id").alias("row_id"),
+        (F.col("id") % 40).cast("int").alias("g"),
+        ((F.col("id") % 40) / 40 + 2 * (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000)).alias("x"),
+    )
+    part = F.col("row_id") % 3
+    groups = rows.withColumn("y", (F.col("g") >= 20).cast("int"))
+    found = models.learned_graph_inputs(groups, ["x"], ["g"], "y", part == 0, part == 1, inverse_penalty=1.0)
+    assert found.share <= 0.2 and found.columns == ["x", "mix_x"] and found.rows.columns[-1] == "mix_x"
+    alone = rows.withColumn("y", (F.col("x") - F.col("g") / 40 > 1).cast("int"))
+    assert models.learned_graph_inputs(alone, ["x"], ["g"], "y", part == 0, part == 1, inverse_penalty=1.0).share >= 0.9
+
+
 def test_infinite_input_is_bounded(spark):
     df = spark.createDataFrame([(float("inf"), 1), (None, 0), (float("nan"), 1)], "x double, y int")
     assert sorted(r["x"] for r in models.bounded(df, ["x"]).collect()) == [0.0, 0.0, 1e30]
