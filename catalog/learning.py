@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from catalog.frames import frame, frame_sql, lending_tables, table
 from catalog.tables import DIM, FILL_FIRST, rounded
-from riskloom.operators import graph, metrics, models, neighbours, split, vectors
+from riskloom.operators import graph, metrics, models, multitask, neighbours, split, vectors
 from riskloom.operators.running import with_row_ids
 from riskloom.plans import applicants as A
 from riskloom.plans import loans as L
@@ -149,6 +149,16 @@ def queries():
         model = models.fit("rf", rows.filter(f"NOT ({_HELD})"), columns, "y")
         return checked(materialise(models.score(model, rows.filter(_HELD)), "scores"))
 
+    def check_multitask(spark, sf):
+        """Codes of the given vectors, trained on a label that four of their elements tell."""
+        rows = frame(spark, sf, "vectors").select("row_id", F.transform("x", lambda v: v.cast("double")).alias("x"))
+        told = F.get("x", F.lit(0)) + F.get("x", F.lit(1)) > F.get("x", F.lit(2)) + F.get("x", F.lit(3))
+        rows = materialise(rows.withColumn("y", told.cast("int")), "vectors")
+        model = multitask.fit(rows, "x", "y", DIM, code=8, steps=25)
+        falls = all(a > b for a, b in zip(model.losses, model.losses[1:]))
+        scores = checked(materialise(model.score(rows).select("y", "p"), "scores"))
+        return scores.select("*", F.lit(falls).alias("falls"), F.lit(model.aggregates <= len(model.losses) + 3).alias("one_pass_a_step"))
+
     def check_wide_deep(spark, sf):
         flags = {"f_a": (F.col("a") > 0.5).cast("int"), "f_b": (F.col("b") > 0.5).cast("int")}
         train, held = (part.withColumns(flags) for part in planted(spark, sf))
@@ -229,6 +239,7 @@ def queries():
         "check_gbt": check_boosting("gbt"),
         "check_gbt_leaves": check_boosting("gbt_slow"),
         "check_rf_combined": check_rf_combined,
+        "check_multitask": check_multitask,
         **{f"check_{name}": check(name) for name in ("dt", "rf", "mlp")},
         "check_lr": check("lr", inverse_penalty=1.0),
         "check_wide_deep": check_wide_deep,
@@ -292,6 +303,8 @@ def oracle():
         f"{', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in NEAR)} FROM ({rows}) UNION ALL {made}",
         "pca_whole": "SELECT CASE WHEN count(*) > 0 THEN 0e0 END AS mse FROM embeddings",
         "graph_gate": gate,
+        "check_multitask": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS unusable, true AS varies, true AS finds_label, true AS falls, "
+        "true AS one_pass_a_step FROM embeddings",
         "score_exact": exact,
         "score_saved": exact,
         "chosen_setting": "SELECT CAST(2 AS INTEGER) AS depth, 1e0 AS auc",
