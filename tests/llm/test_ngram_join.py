@@ -72,7 +72,7 @@ def result(df):
     return [tuple(r) for r in df.collect()]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_all_pairs(spark, seed):
     rows = table(seed)
     found = result(J.linked_documents(frame(spark, rows)))
