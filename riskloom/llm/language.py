@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import free_name, named, small_batches
@@ -23,10 +23,8 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 DIMENSIONS = 6
-# The classifier is fitted on at most this many documents per language, and on no more than
-# MAX_LANGUAGES languages (the most frequent), with WINDOWS_PER_TEXT windows of each document.
+# The classifier is fitted on at most this many different texts of each language, with WINDOWS_PER_TEXT windows of each text.
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 256
 WINDOWS_PER_TEXT = 3
 _CHUNK = 128  # windows per matrix product, which bounds a task's memory
 
@@ -147,20 +145,20 @@ def classify(net: ByteNet, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_windows(labelled: DataFrame, text: str, lang: str) -> list:
-    """Bounded, hashed sample of (language, piece) rows, cut out of the texts before they travel."""
+    """Hashed sample of (language, piece) rows: of each language the SAMPLE_PER_LANGUAGE different texts of smallest hash.
+
+    Pieces are cut out of the texts before these travel. Copies of a text count once, however many there are, and no language is left
+    out. A task keeps at most the sample of each language it meets; what reaches the driver grows with the languages alone.
+    """
     rows = labelled.filter(named(text).isNotNull() & named(lang).isNotNull() & named(text).rlike("\\p{L}"))
-    rows = rows.select(named(text).alias("t"), named(lang).alias("l"), F.lower(named(text)).alias("low"))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[v for r in counts for v in (F.lit(r["l"]), F.lit(min(1.0, SAMPLE_PER_LANGUAGE / r["n"])))])
-    ticket = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
-    kept = rows.withColumn("ticket", ticket).filter(F.col("ticket") < share[F.col("l")])
+    rows = rows.select(F.xxhash64(named(text)).alias("ticket"), named(lang).alias("l"), named(text).alias("t"), F.lower(named(text)).alias("low"))
     spot = "cast(pmod(xxhash64(t, i), greatest(length(low) - 100, 1)) as int)"
     cut = f"transform(sequence(1, {WINDOWS_PER_TEXT}), i -> substring(low, 1 + {spot}, {WINDOW}))"
-    bound = 2 * SAMPLE_PER_LANGUAGE * len(counts)  # copies of one text share a ticket
-    sample = kept.select("ticket", "l", F.expr(cut).alias("pieces")).orderBy("ticket", "l").limit(bound)
-    return [(r["l"], p.encode("utf-8", "replace")) for r in sample.collect() for p in r["pieces"]]
+    pieces = rows.select("l", "ticket", F.expr(cut).alias("pieces"))
+    once = pieces.groupBy("l", "ticket").agg(F.min("pieces").alias("pieces"))
+    order = Window.partitionBy("l").orderBy("ticket")  # a rank limit is applied before the shuffle too
+    sample = once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SAMPLE_PER_LANGUAGE)
+    return [(r["l"], p.encode("utf-8", "replace")) for r in sample.select("l", "pieces").collect() for p in r["pieces"]]
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet | None:
@@ -213,7 +211,11 @@ def learn_from_documents(docs: DataFrame) -> ByteNet | None:
 
 
 def accepted(df: DataFrame, net: ByteNet | None, least: float = 0.35) -> DataFrame:
-    """Rows whose language could be told with a score of at least ``least``; the columns stay as they are."""
+    """Rows whose language could be told with a score of at least ``least``; the columns stay as they are.
+
+    A null text, or one without a letter, goes, and so does every row if nothing could be learned. Equal texts stay or go together; of an
+    empty table nothing comes out.
+    """
     held = free_name(df, "__language")
     small_batches(df.sparkSession)
     found = df.withColumn(held, prediction(net, named("text")))

@@ -1,3 +1,5 @@
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,19 @@ def test_accepted_keeps_columns(spark, net):
     kept = L.accepted(odd(spark), net)
     assert kept.columns == odd(spark).columns
     assert {1, 2, 3, 8}.isdisjoint({r.doc_id for r in kept.collect()})
+
+
+def test_copies_of_one_text_leave_the_other_languages_their_sample(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("lang is not null").select("text", "lang")
+    text = docs.filter("lang = 'en' and length(text) > 200").agg(F.min("text")).first()[0]
+    many = spark.range(6000).select(F.lit(text).alias("text"), F.lit("en").alias("lang"))
+    plain = collections.Counter(name for name, _ in L.sample_windows(docs, "text", "lang"))
+    found = collections.Counter(name for name, _ in L.sample_windows(docs.unionByName(many), "text", "lang"))
+    assert found == plain and len(found) == docs.select("lang").distinct().count()
+    assert max(found.values()) <= L.SAMPLE_PER_LANGUAGE * L.WINDOWS_PER_TEXT
+
+
+def test_any_number_of_languages(spark):
+    rows = [("word %d and more" % i, "l%d" % (i % 300)) for i in range(900)]
+    sample = L.sample_windows(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert len({name for name, _ in sample}) == 300
