@@ -97,9 +97,14 @@ def hub_links(
 
 
 def perhaps_named(rows: DataFrame, column: Column, names: DataFrame, name: str) -> DataFrame:
-    """Rows whose column may be among the names: none of those is lost, few others stay.
+    """Rows whose column may be among the names: none of those is lost, few others stay."""
+    return rows.filter(perhaps(column, names, name))
 
-    A bit table of fixed size says which; it only spares shuffling rows that a join would drop anyway.
+
+def perhaps(column: Column, names: DataFrame, name: str) -> Column:
+    """Whether a column may be among the names: true for all of those and for few others.
+
+    A bit table of fixed size says so; it only spares shuffling rows that a join would drop anyway.
     """
     place = F.pmod(F.xxhash64(F.col(name)), F.lit(_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.col(name)), F.lit(64)).cast("int"))
@@ -107,7 +112,7 @@ def perhaps_named(rows: DataFrame, column: Column, names: DataFrame, name: str)
     table = fixed_array(words, "word", "bits", _BITS // 64, "bigint")
     here = F.element_at(table, (F.floor(F.pmod(F.xxhash64(column), F.lit(_BITS)) / 64) + 1).cast("int"))
     mine = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(column), F.lit(64)).cast("int"))
-    return rows.filter(here.bitwiseAND(mine) != 0)
+    return here.bitwiseAND(mine) != 0
 
 
 def fixed_array(rows: DataFrame, place: str, value: str, size: int, kind: str) -> Column:
