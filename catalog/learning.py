@@ -213,6 +213,14 @@ def queries():
         rows = _near_rows(spark, sf).filter("TARGET = 1")
         return rounded(neighbours.nearest_neighbours(rows, "SK_ID_CURR", NEAR, 5), ["distance"], 9)
 
+    def near_hashed(spark, sf):
+        rows = _near_rows(spark, sf).filter("TARGET = 1")
+        return rounded(neighbours.hashed_neighbours(rows, "SK_ID_CURR", NEAR, 5), ["distance"], 9)
+
+    def check_near_hashed(spark, sf):
+        found = neighbours.recall(near_hashed(spark, sf), near(spark, sf), "SK_ID_CURR")
+        return found.select("n", (F.col("recall") >= 0.9).alias("finds_most"))
+
     def applicant_graph(spark, sf):
         table = A.coded_applicants(A.applicant_features(lending_tables(spark, sf)))
         rows, _ = A.applicant_clusters(table)
@@ -245,6 +253,8 @@ def queries():
         "check_wide_deep": check_wide_deep,
         "check_graph": check_graph,
         "nearest_minority": near,
+        "nearest_hashed": near_hashed,
+        "check_nearest_hashed": check_near_hashed,
         "smote": lambda s, d: rounded(neighbours.oversample_minority(_near_rows(s, d), "TARGET", "SK_ID_CURR", NEAR), NEAR, 9),
     }
 
@@ -299,6 +309,7 @@ def oracle():
     return {
         "nearest_minority": f"WITH {minority}, d AS ({ranked}) SELECT SK_ID_CURR, CAST(k - 1 AS INTEGER) AS rank, neighbour, "
         "round(distance, 9) + 0e0 AS distance FROM d WHERE k <= 5",
+        "check_nearest_hashed": f"SELECT CAST(count(*) * least(5, count(*) - 1) AS BIGINT) AS n, true AS finds_most FROM ({rows}) WHERE TARGET = 1",
         "smote": f"WITH {minority}, d AS MATERIALIZED (SELECT * FROM ({ranked}) WHERE k <= {near}), plan AS ({plan}) SELECT SK_ID_CURR, TARGET, "
         f"{', '.join(f'round({c}, 9) + 0e0 AS {c}' for c in NEAR)} FROM ({rows}) UNION ALL {made}",
         "pca_whole": "SELECT CASE WHEN count(*) > 0 THEN 0e0 END AS mse FROM embeddings",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,18 @@ def queries():
         text = loans(spark, sf).select("id", F.date_format("issue_d", "MMM-yyyy").alias("issue_d"))
         return text.select("id", S.to_date_time("issue_d", "MMM-yyyy").cast("timestamp_ntz").alias("issue_d"))
 
+    def hot_places(spark, sf):
+        rows, names = encode.one_hot_vectors(clean(spark, sf).select("id", *CATEGORY_COLUMNS), CATEGORY_COLUMNS)
+        place = {n: F.coalesce(F.array_position(vector_to_array(n), 1.0), F.lit(0)) - 1 for n in names}
+        return rows.select("id", *[place.get(f"{c}_levels", F.lit(-1).cast("bigint")).alias(c) for c in CATEGORY_COLUMNS])
+
+    def logged_figures(spark, sf):
+        path, log = new_path(spark, "applicants"), new_path(spark, "log")
+        rows = apps(spark, sf)
+        figures = {"n_rows": F.count(F.lit(1)), "n_positive": F.count(F.when(F.col("TARGET") == 1, 1)), "highest_key": F.max("SK_ID_CURR")}
+        sources.write_logged(rows, path, log, "first", figures)
+        return spark.read.parquet(log)
+
     def feature_roundtrip(spark, sf):
         path = new_path(spark, "vectors")
         sources.write_vectors(frame(spark, sf, "vectors"), path, "x")
@@ -199,6 +212,8 @@ def queries():
         "parse_issue_date": parse_issue_date,
         "sample_rows": lambda s, d: sources.sample_rows(scored(s, d), 0.01, "row_id"),
         "feature_roundtrip": feature_roundtrip,
+        "one_hot_vectors": hot_places,
+        "logged_figures": logged_figures,
         "keep_columns": lambda s, d: L.keep_columns(loans(s, d), ["id"], check=True),
         "status_filter": lambda s, d: L.settled(loans(s, d)).select("id", "loan_status"),
         "value_remap": lambda s, d: loans(s, d).select(
@@ -348,6 +363,12 @@ def oracle():
         + ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in CATEGORY_COLUMNS)
         + f" FROM ({CLEAN})",
         "one_hot_drop_first": f"SELECT id, {hot_sql} FROM ({CLEAN})",
+        "one_hot_vectors": f"WITH c AS MATERIALIZED ({CLEAN}) SELECT id, " + ", ".join(
+            f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END AS {c}" for c in CATEGORY_COLUMNS
+        ) + " FROM c",
+        "logged_figures": "SELECT 'first' AS run_id, CAST(0 AS INTEGER) AS step, unnest(['n_rows', 'n_positive', 'highest_key']) AS name, "
+        "unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE TARGET = 1) AS VARCHAR), CAST(max(SK_ID_CURR) AS VARCHAR)]) AS value "
+        f"FROM ({frame_sql('application')})",
         "one_hot_wide": f"SELECT *, {wide_sql} FROM ({wide_rows})",
         "minmax_scale": f"SELECT id, {', '.join(_round(_scaled(c, 'lo_' + c, 'hi_' + c), 9, c) for c in SCALED)} "
         f"FROM ({CLEAN}), (SELECT {ranges} FROM ({CLEAN}))",

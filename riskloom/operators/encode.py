@@ -38,6 +38,7 @@ FORCED_VALUE_COLUMNS = [
 VALUE_NAME_PARTS = ["MEAN", "SUM", "MIN", "MAX", "COUNT", "RATIO", "STD", "AVG", "TOTAL", "MODE", "MEDI"]
 MAX_CODES_BY_NAME_RULE = 50  # more distinct values make a column numeric
 MIN_VALUES_BY_COUNT_RULE = 200  # at least this many distinct values make a column numeric
+MAX_NAMED = 4096  # values of all columns together that named indicators may have
 MAX_WIDE_LEVELS = 20
 
 # ---- End of fixed values ----
@@ -171,9 +172,11 @@ def bag_encode(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> t
 def column_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted non-missing values per column, for named indicator columns.
 
-    Asking for names means that many columns and driver rows; ``one_hot_vectors`` takes any number of values.
+    Names mean as many columns and driver rows, so more than MAX_NAMED values are an error; ``one_hot_vectors`` takes any number.
     """
-    rows = column_values(df, columns).distinct().collect()
+    rows = column_values(df, columns).distinct().limit(MAX_NAMED + 1).collect()
+    if len(rows) > MAX_NAMED:
+        raise ValueError(f"more than {MAX_NAMED} different values in {', '.join(columns)}: use one_hot_vectors")
     slots = [slot_of(df.schema[c].dataType) for c in columns]
     return {c: sorted(r[slots[i]] for r in rows if r["i"] == i and r[slots[i]] is not None) for i, c in enumerate(columns)}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,3 +187,14 @@ def append_log(spark: SparkSession, path: str, run_id: str, values: Mapping[str,
     spark.createDataFrame(rows, "run_id string, step int, name string, value string").coalesce(1).write.mode(
         "append"
     ).parquet(path)
+
+
+def write_logged(df: DataFrame, path: str, log: str, run_id: str, figures: Mapping[str, Column], step: int = 0) -> dict[str, object]:
+    """Write rows as Parquet and append aggregates of them to the run log, taken while they are written; also the figures.
+
+    The rows are computed once: no second scan reads them for the log.
+    """
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in figures.items()]).write.parquet(path)
+    append_log(df.sparkSession, log, run_id, seen.get, step)
+    return dict(seen.get)

@@ -125,3 +125,12 @@ def test_roles(spark):
     df = spark.range(300).selectExpr("id", "id % 7 AS small", "id AS big", "id % 3 AS AMT_MEAN", "id % 5 AS AMT_CREDIT")
     assert encode.roles_by_name(df, ["id"]) == (["AMT_CREDIT", "big", "AMT_MEAN"], ["small"])
     assert encode.roles_by_count(df, ["id"]) == (["big"], ["small", "AMT_MEAN", "AMT_CREDIT"])
+
+
+def test_named_indicators_of_too_many_values_are_refused(spark, monkeypatch):
+    df = spark.createDataFrame([(str(i % 7), str(i % 3)) for i in range(40)], "s string, t string")
+    monkeypatch.setattr(encode, "MAX_NAMED", 9)
+    with pytest.raises(ValueError, match="one_hot_vectors"):
+        encode.one_hot_drop_first(df, ["s", "t"])
+    monkeypatch.setattr(encode, "MAX_NAMED", 10)
+    assert len(encode.one_hot_wide(df, ["s", "t"]).columns) == 12

@@ -113,3 +113,13 @@ def test_loan_cleaning(spark):
     assert (r["term"], r["emp_length"], r["home_ownership"], r["earliest_cr_line"]) == (36, 0, "OTHER", 2003)
     assert r["loan_label"] == 1 and r["fico_score"] == 1.0
     assert L.clean_loans(df.withColumn("loan_status", F.lit("Current"))).count() == 0
+
+
+def test_figures_are_taken_while_rows_are_written(spark, tmp_path):
+    rows = spark.range(100, numPartitions=4).selectExpr("id", "id % 7 AS r")
+    figures = {"n": F.count(F.lit(1)), "top": F.max("id"), "sevens": F.sum((F.col("r") == 0).cast("int"))}
+    got = sources.write_logged(rows, f"{tmp_path}/rows", f"{tmp_path}/log", "a", figures, 3)
+    assert got == {"n": 100, "top": 99, "sevens": 15} and spark.read.parquet(f"{tmp_path}/rows").count() == 100
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()} == {("a", 3, "n", "100"), ("a", 3, "top", "99"), ("a", 3, "sevens", "15")}
+    sources.write_logged(rows.limit(0), f"{tmp_path}/none", f"{tmp_path}/log", "b", {"n": F.count(F.lit(1))})
+    assert spark.read.parquet(f"{tmp_path}/log").filter("run_id = 'b'").first().value == "0"
