@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from catalog.frames import FRAMES, frame, frame_sql, lending_tables
 from riskloom.plans import applicants as A
+from riskloom.session import new_path
+from riskloom.sources.tables import write_bucketed
 
 def is_ratio(name: str) -> bool:
     """Columns whose values depend on summation order in their last digits."""
@@ -244,6 +248,12 @@ def queries():
     def features(spark, sf):
         return comparable(A.applicant_features(lending_tables(spark, sf)))
 
+    def bucketed(spark, sf):
+        folder = new_path(spark, "bucketed")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tables = write_bucketed(lending_tables(spark, sf), folder, f"b{uuid.uuid4().hex}", buckets)
+        return comparable(A.applicant_features(tables))
+
     key = "SK_ID_CURR"
     line = [key, "SK_ID_PREV"]
     return {
@@ -269,6 +279,7 @@ def queries():
         "install_agg": _one("installments_payments", A.instalment_features),
         "card_bal_agg": _one("credit_card_balance", A.card_features),
         "applicant_features": features,
+        "applicant_features_bucketed": bucketed,
     }
 
 
@@ -306,4 +317,5 @@ def oracle():
         "install_agg": final(INSTALMENT_AGG, INSTALMENT_COLS),
         "card_bal_agg": final(CARD_AGG, CARD_COLS),
         "applicant_features": final(FEATURES, FEATURE_COLS),
+        "applicant_features_bucketed": final(FEATURES, FEATURE_COLS),
     }

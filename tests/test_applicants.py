@@ -1,6 +1,14 @@
+import os
+import uuid
+
+import pytest
 from pyspark.sql import functions as F
 
+from catalog.frames import lending_tables
 from riskloom.plans import applicants as A
+from riskloom.sources.tables import write_bucketed
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_coded_table_and_its_clusters(spark):
@@ -19,3 +27,28 @@ def test_coded_table_and_its_clusters(spark):
     rows, attributes = A.applicant_clusters(table, zero_share=0.5)
     assert attributes == ["kind"]
     assert {r["cluster_id"]: r["degree"] for r in rows.collect()} == {0: 67, 1: 67, 2: 66}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not present")
+def test_bucketed_tables_spare_the_exchanges(spark, tmp_path):
+    plain = lending_tables(spark, FOLDER)
+    tables = write_bucketed(plain, str(tmp_path), f"t{uuid.uuid4().hex}", 8)  # as many as shuffle partitions
+
+    def exchanged(t):
+        plan = A.applicant_features(t)._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Left are the credits, which balances meet by their own key, and the balances' sums per applicant: a row per credit and less.
+        found = exchanged(tables)
+        assert len(exchanged(plain)) > 10 and len(found) <= 2, found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_key_too_large_for_a_bucket_is_refused(spark, tmp_path):
+    df = spark.range(9000).selectExpr("IF(id % 3 = 0, 7, id) AS SK_ID_CURR")
+    with pytest.raises(ValueError, match="3000 of 9000|3001 of 9000"):
+        write_bucketed({"pos_cash_balance": df}, str(tmp_path), "hot", 16)
