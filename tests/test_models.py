@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskloom.operators import metrics, models, split
@@ -122,3 +123,14 @@ def test_reconstruction_improves_with_more_components(spark):
     df = spark.range(200).select(F.array(*[F.sin(F.col("id") * (i + 1) / 7).alias(f"v{i}") for i in range(6)]).alias("x"))
     errors = [reconstruction_error(models.rebuild(df, "x", 6, k), "x", "rebuilt").first()["mse"] for k in (1, 3, 6)]
     assert errors[0] > errors[1] > errors[2] and errors[2] < 1e-12
+
+
+@pytest.mark.parametrize("name", ["lr", "rf"])
+def test_scores_after_rows_were_observed_in_the_session(spark, parts, name):
+    """An observation in the session must not keep a two-class model from being sent to tasks."""
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    train, valid = parts
+    model = models.fit(name, train, COLUMNS, "y", **OPTIONS.get(name, OPTIONS["LR"]))
+    assert models.score(model, valid).filter("p IS NULL").count() == 0
