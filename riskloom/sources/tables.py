@@ -178,14 +178,14 @@ MAX_KEY_SHARE = 4  # times an even bucket's rows that one key may hold
 
 
 def write_bucketed(
-    tables: Mapping[str, DataFrame], folder: str, prefix: str, buckets: int, keys: Mapping[str, str] = BUCKET_KEYS
+    tables: Mapping[str, DataFrame], folder: str, prefix: str, buckets: int, keys: Mapping[str, str] = BUCKET_KEYS, refuse: bool = True
 ) -> dict[str, DataFrame]:
     """Write the tables bucketed and sorted by their key, as ``prefix_name`` under a folder, and read them back.
 
     Summaries per key and joins on it then need no exchange, given no fewer buckets than spark.sql.shuffle.partitions where they
     meet a table that does need one: of two layouts Spark keeps the one with more partitions. A bucket is one task, so a table is refused if one key holds more than
     MAX_KEY_SHARE times the rows of an even bucket: such tables are better read as they are, since summaries combine rows before they shuffle.
-    Rows without key count as one key.
+    Rows without key count as one key. Unless told to ``refuse`` it, such a table comes back as it is, and the others bucketed.
     """
     out = {}
     for name, df in tables.items():
@@ -193,6 +193,9 @@ def write_bucketed(
         counts = df.groupBy(F.col(quoted(key)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
         told = counts.agg(F.sum("n").alias("n"), F.max("n").alias("top")).first()
         if told["n"] and told["top"] > max(1000, MAX_KEY_SHARE * told["n"] / buckets):
+            if not refuse:
+                out[name] = df
+                continue
             raise ValueError(f"{name}: one {key} holds {told['top']} of {told['n']} rows, too many for one of {buckets} buckets")
         table = f"{prefix}_{name}"
         # Rows come dealt out by bucket, so a bucket is one file.

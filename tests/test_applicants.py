@@ -52,3 +52,13 @@ def test_a_key_too_large_for_a_bucket_is_refused(spark, tmp_path):
     df = spark.range(9000).selectExpr("IF(id % 3 = 0, 7, id) AS SK_ID_CURR")
     with pytest.raises(ValueError, match="3000 of 9000|3001 of 9000"):
         write_bucketed({"pos_cash_balance": df}, str(tmp_path), "hot", 16)
+
+
+def test_a_table_with_one_large_key_is_read_as_it_is(spark, tmp_path):
+    """One applicant, or rows without one, may hold too much for a bucket; the other tables are bucketed all the same."""
+    hot = spark.range(20000).selectExpr("id AS SK_ID_PREV", "CASE WHEN id % 2 = 0 THEN id END AS SK_ID_CURR")
+    even = spark.range(2000).selectExpr("id AS SK_ID_CURR")
+    tables = {"pos_cash_balance": hot, "application": even}
+    made = write_bucketed(tables, str(tmp_path), f"t{uuid.uuid4().hex}", 16, refuse=False)
+    assert made["pos_cash_balance"] is hot
+    assert made["application"] is not even and made["application"].count() == 2000
