@@ -203,3 +203,31 @@ def test_too_many_sums_are_refused(small, monkeypatch):
     monkeypatch.setattr(B, "MOST_SUMS", 20)
     with pytest.raises(ValueError, match="fewer bins"):
         B.fit(small[0], COLUMNS, "y", settings())
+
+
+def test_children_that_need_no_sums_take_no_job(small, monkeypatch):
+    """The last level's totals follow from their parents' sums, and so do those of nodes finished in tasks."""
+    rows, _ = small
+    asked, real = [], B._level_sums
+
+    def counted(*args):
+        asked.append(args)
+        return real(*args)
+
+    monkeypatch.setattr(B, "_level_sums", counted)
+    for depth, task_rows, jobs in ((1, 0, 1), (2, 0, 2), (4, 399, 1)):
+        monkeypatch.setattr(B, "TASK_ROWS", task_rows)
+        asked.clear()
+        B.fit(rows, COLUMNS, "y", settings(rounds=1, depth=depth))
+        assert len(asked) == jobs
+
+
+def test_chunks_and_where_sums_meet_change_no_tree(small, monkeypatch):
+    rows, _ = small
+    monkeypatch.setattr(B, "TASK_ROWS", 150)
+    one = B.fit(rows, COLUMNS, "y", settings(rounds=2))
+    monkeypatch.setattr(B, "CHUNK_ROWS", 30)
+    monkeypatch.setattr(B, "FEW_SUMS", 0)
+    other = B.fit(rows.repartition(3), COLUMNS, "y", settings(rounds=2))
+    for a, b in zip(one.trees, other.trees, strict=True):
+        assert (a.column == b.column).all() and (a.bin == b.bin).all() and (a.value == b.value).all() and (a.rows == b.rows).all()
