@@ -123,3 +123,39 @@ def test_figures_are_taken_while_rows_are_written(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()} == {("a", 3, "n", "100"), ("a", 3, "top", "99"), ("a", 3, "sevens", "15")}
     sources.write_logged(rows.limit(0), f"{tmp_path}/none", f"{tmp_path}/log", "b", {"n": F.count(F.lit(1))})
     assert spark.read.parquet(f"{tmp_path}/log").filter("run_id = 'b'").first().value == "0"
+
+
+def test_inferred_types_of_odd_cells(spark):
+    """One column a case: its values and the type that fits all of them."""
+    cases = [
+        (["1", " -2 ", "+3"], "bigint"),
+        (["1", None], "double"),
+        (["9223372036854775807", "1"], "bigint"),
+        (["9223372036854775808", "1"], "double"),
+        (["1", "2.", ".5", "1e400"], "double"),
+        (["1", "-Infinity", "inf"], "double"),
+        (["1", "2F"], "string"),
+        (["1", "0x10"], "string"),
+        (["1", "1e"], "string"),
+        ([None, None], "double"),
+        (["1.5", "x", None], "string"),
+    ]
+    for values, kind in cases:
+        found = sources.infer_types(spark.createDataFrame([(v,) for v in values], "c string"))
+        assert found["c"].dataType.simpleString() == kind, values
+    assert sources.infer_types(spark.createDataFrame([], "c string"))["c"].dataType.simpleString() == "string"
+
+
+def test_inference_tries_no_cast_on_text_that_looks_otherwise(spark):
+    """A cast that fails costs far more than a look at the text: every try is behind a pattern, and a column takes two figures."""
+    seen = []
+
+    class Watched:
+        columns = ["c"]
+
+        def agg(self, *figures):
+            seen.extend(str(f) for f in figures)
+            return spark.createDataFrame([("1",)], "c string").agg(*figures)
+
+    assert sources.infer_types(Watched())["c"].dataType.simpleString() == "bigint"
+    assert len(seen) == 2 and all("RLIKE" in f.split("TRY_CAST")[0].upper() for f in seen if "TRY_CAST" in f.upper())
