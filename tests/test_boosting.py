@@ -231,3 +231,18 @@ def test_chunks_and_where_sums_meet_change_no_tree(small, monkeypatch):
     other = B.fit(rows.repartition(3), COLUMNS, "y", settings(rounds=2))
     for a, b in zip(one.trees, other.trees, strict=True):
         assert (a.column == b.column).all() and (a.bin == b.bin).all() and (a.value == b.value).all() and (a.rows == b.rows).all()
+
+
+def test_edges_of_two_valued_columns_are_counted(spark, monkeypatch):
+    """The same edges as by quantiles, which are asked only where counts don't tell."""
+    rows = spark.range(5000).select(F.array(*[F.expr(f"CAST({e} AS DOUBLE)") for e in ("id % 2", "7", "id % 1000 = 0", "id % 1000 > 0", "id % 255 > 0", "id % 9")]).alias("__x"))
+    asked, real = [], type(rows).approxQuantile
+
+    def watched(df, names, shares, error):
+        asked.append(list(names))
+        return real(df, names, shares, error)
+
+    monkeypatch.setattr(type(rows), "approxQuantile", watched)
+    edges = B.bin_edges(rows, 6, 255)
+    assert asked == [["c4", "c5"]]
+    assert [e.tolist() for e in edges[:4] + edges[5:]] == [[0.0], [], [0.0], [], [float(i) for i in range(8)]]
