@@ -234,6 +234,10 @@ def _one(name, fn):
     return lambda spark, sf: comparable(fn(frame(spark, sf, name)))
 
 
+def _gathered(name, fn):
+    return lambda spark, sf: comparable(fn(A.gathered({name: frame(spark, sf, name)})[name]))
+
+
 def _derived(name, fn, columns):
     return lambda spark, sf: comparable(fn(frame(spark, sf, name)).select(*columns))
 
@@ -246,7 +250,7 @@ def queries():
         return comparable(A.bureau_features(frame(spark, sf, "bureau"), frame(spark, sf, "bureau_balance")))
 
     def features(spark, sf):
-        return comparable(A.applicant_features(lending_tables(spark, sf)))
+        return comparable(A.applicant_features(A.gathered(lending_tables(spark, sf))))
 
     def bucketed(spark, sf):
         folder = new_path(spark, "bucketed")
@@ -269,15 +273,15 @@ def queries():
         "prev_amt_agg": _one("previous_application", A.previous_amounts),
         "prev_status_pivot": _one("previous_application", A.previous_status_counts),
         "prev_d365_agg": _one("previous_application", A.previous_year_amounts),
-        "prev_agg": _one("previous_application", A.previous_features),
+        "prev_agg": _gathered("previous_application", A.previous_features),
         "bureau_day_amt_agg": _one("bureau", A.bureau_amounts),
         "bureau_active_agg": _one("bureau", A.bureau_active_amounts),
         "bureau_d750_agg": _one("bureau", A.bureau_recent_amounts),
         "bureau_bal_agg": balance,
         "bureau_agg": bureau,
-        "pos_bal_agg": _one("pos_cash_balance", A.pos_features),
-        "install_agg": _one("installments_payments", A.instalment_features),
-        "card_bal_agg": _one("credit_card_balance", A.card_features),
+        "pos_bal_agg": _gathered("pos_cash_balance", A.pos_features),
+        "install_agg": _gathered("installments_payments", A.instalment_features),
+        "card_bal_agg": _gathered("credit_card_balance", A.card_features),
         "applicant_features": features,
         "applicant_features_bucketed": bucketed,
     }

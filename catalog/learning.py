@@ -222,7 +222,7 @@ def queries():
         return found.select("n", (F.col("recall") >= 0.9).alias("finds_most"))
 
     def applicant_graph(spark, sf):
-        table = A.coded_applicants(A.applicant_features(lending_tables(spark, sf)))
+        table = A.coded_applicants(A.applicant_features(A.gathered(lending_tables(spark, sf))))
         rows, _ = A.applicant_clusters(table)
         return rows.select("SK_ID_CURR", "TARGET", *table.codes, "cluster_id", "degree")
 

@@ -103,6 +103,16 @@ def _output(spec: HistorySpec, i: int, c: str, func: str, is_float: bool) -> str
     return value
 
 
+def gathered(df: DataFrame, key: str) -> DataFrame:
+    """The rows that have a key, those of one key in one partition, so that summaries of them and joins on the key need no exchange.
+
+    For keys with few rows each that lie far apart: a source row is much narrower than the partial figures of its key, of which
+    there would be nearly as many as rows. A task adds up its rows one after another, so a key with many of them takes it longer, but no
+    more memory. Keys with very many rows in every task are better summed up as they are, and so are tables laid out by key.
+    """
+    return df.filter(f"{quoted(key)} IS NOT NULL").repartition(F.col(quoted(key)))
+
+
 def summarise(df: DataFrame, spec: HistorySpec) -> DataFrame:
     """One row per key with every metric of every window.
 

@@ -17,7 +17,7 @@ from riskloom.functions.scalars import (
     row_std,
     sentinel_to_null,
 )
-from riskloom.operators import encode, graph, scale
+from riskloom.operators import encode, graph, history, scale
 from riskloom.operators.history import HistorySpec, RowWindow, summarise
 from riskloom.session import materialise
 
@@ -361,6 +361,15 @@ def card_features(card: DataFrame) -> DataFrame:
     return summarise(card_columns(card), HistorySpec(KEY, CARD_METRICS, [RowWindow(*w) for w in CARD_WINDOWS]))
 
 
+# Histories with few rows per applicant, spread over the whole table. Credits aren't among them: they are combined where they are.
+SCATTERED = ("previous_application", "pos_cash_balance", "installments_payments", "credit_card_balance")
+
+
+def gathered(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with each applicant's scattered rows brought together, for tables that aren't laid out by applicant."""
+    return {name: history.gathered(df, KEY) if name in SCATTERED else df for name, df in tables.items()}
+
+
 def applicant_features(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The full applicant table: one row per application, histories joined on the left.
 

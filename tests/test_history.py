@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from riskloom.operators.history import HistorySpec, RowWindow, output_names, summarise
+from riskloom.operators.history import HistorySpec, RowWindow, gathered, output_names, summarise
 from riskloom.plans import applicants as A
 
 ROWS = [
@@ -90,3 +90,19 @@ def test_columns_of_any_name(spark):
     got = {r["the.key"]: r.asDict() for r in summarise(df, spec).collect()}
     assert (got[1]["P_A.B_MEAN"], got[1]["Q_A.B_MAX"], got[1]["P_C-D_SUM"], got[1]["Q_THE.KEY_COUNT"]) == (3.0, 2.0, 0, 1)
     assert got[2]["P_A.B_MEAN"] is None and got[2]["P_THE.KEY_COUNT"] == 1
+
+
+def test_gathered_rows_are_the_only_thing_that_travels(spark):
+    """Source rows are dealt out by key once; no partial figures follow them, and the figures are the same."""
+    spec = HistorySpec("k", METRICS, [RowWindow("A_"), RowWindow("R_", "d > -365")])
+    found = summarise(gathered(table(spark), "k"), spec)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert by_key(found) == by_key(summarise(table(spark), spec))
+
+
+def test_scattered_histories_are_gathered(spark):
+    df = spark.createDataFrame([(1, 1), (None, 2)], "SK_ID_CURR bigint, x int")
+    got = A.gathered({name: df for name in ("application", "bureau", *A.SCATTERED)})
+    assert got["application"] is df and got["bureau"] is df
+    assert [[tuple(r) for r in got[name].collect()] for name in A.SCATTERED] == [[(1, 1)]] * 4
