@@ -57,3 +57,19 @@ def test_perhaps_named_loses_nothing(spark):
 def test_fixed_array(spark):
     rows = spark.createDataFrame([(0, 5), (3, -2)], "p int, v int")
     assert spark.range(1).select(G.fixed_array(rows, "p", "v", 5, "bigint").alias("a")).first().a == [5, 0, 0, -2, 0]
+
+
+def test_a_large_group_around_one_member_takes_few_comparisons(spark):
+    """Copies of one member, each 0.19 from it and 0.38 from each other, that meet it in five of six buckets."""
+    members = [(b, i) for b in range(6) for i in range(400) if i == 7 or i % 6 != b]
+    df = materialise(spark.createDataFrame(members, "bucket bigint, node bigint"), "members")
+    asked = []
+
+    def verify(pairs):
+        found = pairs.select("a", "b", F.when((F.col("a") == 7) | (F.col("b") == 7), F.lit(0.81)).otherwise(F.lit(0.62)).alias("similarity"))
+        asked.append(found.count())
+        return found
+
+    links = G.hub_links(df, verify, 0.8)
+    assert {(r.a, r.b) for r in links.collect()} == {(min(i, 7), max(i, 7)) for _, i in members if i != 7}
+    assert sum(asked) < 4 * 400
