@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from riskloom.operators.joins import lookup_join
+from riskloom.operators.joins import lookup_join, measure
 
 
 def test_both_ways_give_the_same_rows(spark):
@@ -29,3 +29,9 @@ def test_hot_key_does_not_pile_up(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lists_of_records_are_measured_in_full(spark):
+    record = F.struct(F.lit(1.0).alias("d"), F.lit(2).cast("bigint").alias("k"))
+    mapping = spark.range(10).select("id", F.lit(1).alias("n"), F.array_repeat(record, 20).alias("all"))
+    assert measure(mapping, "n")[0]["bytes"] >= 10 * 20 * 24
