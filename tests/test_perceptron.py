@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom import session
@@ -61,10 +60,22 @@ def test_values_travel_exactly():
     assert np.array_equal(x.T, np.array(columns)) and y.tolist() == [0, 1, 1]
 
 
-def test_unfit_rows_are_refused_and_none_give_the_first_weights(spark):
+def test_unfit_rows_are_refused_and_none_give_the_first_weights(spark, monkeypatch):
     df = spark.createDataFrame([(1.0, 0.0, 1), (None, 1.0, 0), (2.0, 1.0, None), (2.0, 2.0, 2)], "a double, b double, y int")
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1)
     for bad in ("a IS NULL", "y IS NULL", "y = 2"):
         with pytest.raises(Exception, match="whole numbers below 2|must be complete"):
             models.fit("mlp", df.filter(f"{bad} OR (a = 1 AND y = 1)"), ["a", "b"], "y", hidden=[3], max_iter=3)
-    model = models.fit("mlp", df.filter("a > 5"), ["a", "b"], "y", hidden=[3], max_iter=3)
-    assert model.transform(df.filter("a = 1")).select(vector_to_array("probability")).count() == 1
+    learner = MultilayerPerceptronClassifier(labelCol="y", layers=[2, 3, 2], maxIter=3, seed=7)
+    assert len(P.fit(learner, df.filter("a > 5"), ["a", "b"], 0).weights) == 17
+
+
+def test_many_rows_are_fitted_here_and_few_by_the_library(spark, monkeypatch):
+    seen, real = [], P.fit
+    monkeypatch.setattr(P, "fit", lambda *a: seen.append(a[-1]) or real(*a))
+    df = rows(spark, 600)
+    for rows_a_task in (600, 100):
+        monkeypatch.setattr(session, "ROWS_A_TASK", rows_a_task)
+        out = models.score(models.fit("mlp", df, list("abc"), "y", hidden=[4], max_iter=30), df)
+        assert out.filter("p BETWEEN 0 AND 1").count() == 600
+    assert seen == [600]

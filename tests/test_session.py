@@ -76,3 +76,13 @@ def test_a_fit_reads_a_single_file_with_several_tasks(spark, tmp_path, monkeypat
     monkeypatch.setitem(models.LEARNERS, "lr", watched)
     models.fit("lr", spark.read.parquet(str(tmp_path / "t")), ["a", "b"], "y", max_iter=2)
     assert read == [3]
+
+
+def test_batches_are_made_smaller_never_larger(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    with session.batch_bytes(spark, 1 << 20):
+        assert spark.conf.get(name) == str(1 << 20)
+        with session.batch_bytes(spark, 1 << 22):
+            assert spark.conf.get(name) == str(1 << 20)
+    assert spark.conf.get(name) == own
